@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from jotspark.llm import token_counts, toxicity
+from jotspark.llm import jaccard_join, language_id, token_counts, top_k, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_language_id": language_id.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_top_k": top_k.op4_top_k,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_top_k": top_k.ORACLE}

@@ -14,7 +14,7 @@ from jotspark.llm.common import table
 #: Longer pre-tokens are scored by the same recurrence without being kept in the trie.
 LONG = 64
 #: Nodes (and kept counts) of one worker's trie; it is emptied beyond that, which changes no result.
-MOST_NODES = 500_000
+MOST_NODES = 1_200_000
 
 
 def unigram_scores(vocab: dict[str, int]) -> dict[str, float]:
