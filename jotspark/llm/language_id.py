@@ -13,7 +13,7 @@ from jotspark.llm import pieces
 from jotspark.llm.common import fold, stored, table
 
 #: Pre-tokens kept with their scores by one worker, and the length up to which they are scored side by side.
-MOST_WORDS, LONG = 300_000, 48
+MOST_WORDS, LONG = 700_000, 48
 #: Each character is scaled by this, so that products over a pre-token stay within doubles.
 SCALE = 300.0
 #: Probability of a character outside the vocabulary, alike in all languages.
@@ -25,32 +25,26 @@ class Lattice:
 
     def __init__(self, vocab: dict[str, int], words: list[str]):
         get, unknown = self.prefixes(vocab).get, len(vocab)
-        at, start, end, piece, size = [], [], [], [], []
+        arcs: list[int] = []  # word, end, start and piece of an arc in one integer
+        add = arcs.append
         for k, w in enumerate(words):
-            text = pieces.MARK + w
-            n = len(text)
-            size.append(n)
+            text, n = pieces.MARK + w, len(w) + 1
             for i in range(n):
-                seen = False
+                seen, at = False, k << 32 | i << 20
                 for j in range(i + 1, n + 1):
                     p = get(text[i:j])
                     if p is None:
                         break
                     if p >= 0:
                         seen |= j == i + 1
-                        at.append(k)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
+                        add(at | j << 26 | p)
                 if not seen:
-                    at.append(k)
-                    start.append(i)
-                    end.append(i + 1)
-                    piece.append(unknown)
-        self.size = np.array(size, np.int64)
-        at, start, end, piece = (np.array(x, np.int64) for x in (at, start, end, piece))
-        order = np.lexsort((at, end))
-        self.at, self.start, self.end, self.piece = at[order], start[order], end[order], piece[order]
+                    add(at | (i + 1) << 26 | unknown)
+        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        arcs = np.array(arcs, np.int64)
+        order = np.lexsort((arcs >> 32, (arcs >> 26) & 63))
+        arcs = arcs[order]
+        self.at, self.end, self.start, self.piece = arcs >> 32, (arcs >> 26) & 63, (arcs >> 20) & 63, arcs & ((1 << 20) - 1)
         self.cuts = np.searchsorted(self.end, np.arange(self.size.max(initial=0) + 2))
 
     _prefixes: dict[int, dict[str, int]] = {}
