@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jotspark.llm.common import stored, table
@@ -51,6 +51,26 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_hits(percent: int) -> Column:
+    """Tokens that a query's first tokens and the union of a group's must share if a member can link with the query.
+
+    Let x and y share c of their first tokens. Whatever else they share comes after the earlier of the two last ones, so
+    the overlap is at most c + max(rest(x), rest(y)), rest(n) being the tokens after the first ones. A link needs
+    percent * (x + y) / (100 + percent). Over the sizes y of a group the difference is least at one of its ends; one less
+    is asked for, as the roundings of both can differ.
+    """
+    x = F.col("n")
+
+    def rest(n: Column) -> Column:
+        return F.ceil(n * percent / F.lit(100.0)) - 1
+
+    def lacking(y: Column) -> Column:
+        return F.ceil((x + y) * percent / F.lit(100.0 + percent)) - F.greatest(rest(x), rest(y))
+
+    low, high = F.greatest("least", F.ceil(x * percent / F.lit(100.0))), F.least("most", F.floor(x * 100 / F.lit(float(percent))))
+    return F.least(lacking(low), lacking(high)) - 1
+
+
 def per_text(docs: DataFrame, words: int, schema: str, fn) -> DataFrame:
     """docs: id (long), text, and more; fn(shingles, row index, batch) gives the output row."""
 
@@ -171,7 +191,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     after = (F.col("g") > F.col("own_g")) | ((F.col("g") == F.col("own_g")) & (F.col("part") >= F.col("own_part")))
     alone = (F.col("g") == F.col("own_g")) & (F.col("part") == F.col("own_part")) & (F.col("c") == 1)
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    opened = stored(asks.join(matrix, "t").filter(after & ~alone & fits).groupBy("node", "n", "g", "part").agg(F.count("*").alias("hits")))
+    hit = asks.join(matrix, "t").filter(after & ~alone).groupBy("node", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
+    opened = stored(hit.filter(fits & (F.col("hits") >= least_hits(percent))).drop("least", "most"))
     load = opened.groupBy("g", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     load = stored(load.select("g", "part", F.greatest(F.ceil(F.col("c") / QUERIES), F.ceil(F.col("s") / QUERY_SHINGLES)).alias("turns")))
 
@@ -180,11 +201,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     few = F.broadcast(active) if active.count() <= SMALL else active
     texts = rows.join(few, "id", "left_semi")
     sets = per_text(texts, words, "node long, n long, cls long, tokens array<long>", lambda s, i, b: (b.column(0)[i].as_py(), len(s), digest(s) if len(s) else None, s))
-    sets = stored(sets.filter("n > 0").join(member.select("node", "cls"), ["node", "cls"], "left_semi").dropDuplicates(["node", "cls"]))
+    sets = stored(sets.filter("n > 0"))
+    few_nodes = member.count() <= SMALL  # then the sets stay where they are, and what they are needed for goes to them
+    side = F.broadcast if few_nodes and opened.count() <= SMALL else (lambda df: df)
     turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn")
-    members = member.join(load, ["g", "part"]).select("node", "cls", "g", "part", turn).join(sets, ["node", "cls"]).select("node", "n", "tokens", "g", "part", "turn")
-    queries = opened.join(load, ["g", "part"]).select("node", "g", "part", F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn"))
-    queries = queries.join(sets.select("node", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")), "node")
+    seats = stored(member.join(load, ["g", "part"]).select("node", "cls", "g", "part", turn))
+    members = sets.join(side(seats), ["node", "cls"]).select("node", "n", "tokens", "g", "part", "turn")
+    visits = stored(opened.join(load, ["g", "part"]).select("node", "g", "part", F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn")))
+    queries = sets.select("node", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")).join(side(visits), "node")
     queries = queries.select(F.col("node").alias("q_node"), "q_n", "q_tokens", F.col("g").alias("q_g"), F.col("part").alias("q_part"), F.col("turn").alias("q_turn"))
 
     def meet(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

@@ -19,8 +19,8 @@ SMALL = 500_000
 
 def masked(line: Column) -> Column:
     """The line with single spaces, and a wildcard for each token that holds a digit."""
-    plain = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.regexp_replace(plain, r"(?<!\S)[^\s\d]*+\d\S*+", WILD)
+    plain = F.trim(F.when(line.rlike(r"\s\s|[^\S ]"), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)[^\s\d]*+\d\S*+", WILD)).otherwise(plain)
 
 
 def n_tokens(mask: Column) -> Column:
