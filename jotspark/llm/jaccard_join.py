@@ -177,8 +177,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared = F.broadcast(shared)
     held = stored(tokens.join(shared, "t"))
 
-    # groups: the most frequent of a node's tokens names its group; large groups have parts
-    named = held.groupBy("node", "n", "cls").agg(F.max(F.struct("df", "t"))["t"].alias("g"))
+    # groups: the most frequent of a node's tokens and its size, to 5 per cent, name its group; large groups have parts
+    named = held.groupBy("node", "n", "cls").agg(F.max(F.struct("df", "t"))["t"].alias("top"))
+    named = named.select("node", "n", "cls", F.xxhash64("top", F.floor(F.log("n") / F.log(F.lit(1.05)))).alias("g"))
     named = stored(named)
     sizes = named.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     parts = stored(sizes.select("g", F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("s") / MEMBER_SHINGLES)).alias("parts")))
