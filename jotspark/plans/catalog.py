@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from jotspark.plans import relational
+from jotspark.plans import columns, relational
 
-MODULES = (relational,)
+MODULES = (relational, columns)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
