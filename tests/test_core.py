@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def cell(x):
-    if x is None or x != x:
+    if pd.isna(x):
         return None
     return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
