@@ -82,7 +82,8 @@ def permuted(window: Column, i: int) -> Column:
 
 def templates(spark, rows: list[tuple[str, str]]) -> DataFrame:
     """id, distinct shingles and stride of each template, as given by the caller: a list held in the program."""
-    t = shingled(spark.createDataFrame(rows, "license string, body string"), "body", F.col("license")).withColumn("t_sh", F.array_distinct("sh")).filter(F.size("t_sh") > 0)
+    given = F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in rows])).alias("x")
+    t = shingled(spark.range(1).select(given).select("x.license", "x.body"), "body", F.col("license")).withColumn("t_sh", F.array_distinct("sh")).filter(F.size("t_sh") > 0)
     longest = F.size("sh")
     stride = F.coalesce(*[F.when(longest <= m, m) for m in STRIDES])
     return stored(t.filter(stride.isNotNull()).select("license", "t_sh", stride.alias("stride")).coalesce(1))
