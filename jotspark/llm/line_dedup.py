@@ -43,7 +43,8 @@ def general(docs: DataFrame, id_col: str, text_col: str, templates: DataFrame, m
     """Templates that differ in variable positions only: t1, t2 and the first id of the wider template they share."""
     leaves = templates.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
     wanted = stored(templates.join(leaves, "leaf"))  # few: most leaves hold one template
-    lines = keys(template_lines(docs, id_col, text_col)).select("t1", "t2", "mask").join(wanted.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
+    names = wanted.select("t1", "t2").distinct()
+    lines = keys(template_lines(docs, id_col, text_col)).select("t1", "t2", "mask").join(F.broadcast(names) if wanted.count() <= SMALL else names, ["t1", "t2"], "left_semi")
     words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask")).join(wanted, ["t1", "t2"]).select("t1", "t2", "leaf", "n", "docs", "first", F.split("mask", " ").alias("tokens")))
     seen = words.select("leaf", "docs", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"), F.first("docs").alias("docs"))
     top = seen.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("x"), F.first("docs").alias("docs"))
