@@ -42,8 +42,7 @@ class Lattice:
                     add(at | (i + 1) << 26 | unknown)
         self.size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         arcs = np.array(arcs, np.int64)
-        order = np.lexsort((arcs >> 32, (arcs >> 26) & 63))
-        arcs = arcs[order]
+        arcs = arcs[np.argsort(((arcs >> 26) & 63).astype(np.int8), kind="stable")]  # words are in order already
         self.at, self.end, self.start, self.piece = arcs >> 32, (arcs >> 26) & 63, (arcs >> 20) & 63, arcs & ((1 << 20) - 1)
         self.cuts = np.searchsorted(self.end, np.arange(self.size.max(initial=0) + 2))
 
@@ -61,7 +60,7 @@ class Lattice:
         probabilities of each lattice arc, and the log-probability of each word in each language."""
         alpha = np.zeros((len(self.size), int(self.size.max(initial=0)) + 1, probs.shape[1]))
         alpha[:, 0] = 1.0
-        arc = probs[self.piece] * (SCALE ** (self.end - self.start))[:, None]
+        arc = probs[self.piece] * (SCALE ** np.arange(64.0))[self.end - self.start][:, None]
         for e in range(1, alpha.shape[1]):
             a, b = self.cuts[e], self.cuts[e + 1]
             if a < b:
@@ -166,11 +165,16 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
         logs = np.zeros((0, len(langs)))
 
         def learn(new: list[str]) -> np.ndarray:
-            short = sorted((w for w in new if len(w) < LONG), key=lambda w: (len(w), w))
-            parts = [Lattice(vocab, short[i : i + 4000]).forward(probs)[2] for i in range(0, len(short), 4000)]
-            out = dict(zip(short, np.concatenate(parts) if parts else (), strict=True))
-            out.update((w, long_word(vocab, probs, w)) for w in new if len(w) >= LONG)
-            return np.array([out[w] for w in new]).reshape(-1, len(langs))
+            out = np.empty((len(new), len(langs)))
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            order = np.argsort(size, kind="stable")
+            short = order[: np.searchsorted(size[order], LONG)]
+            for i in range(0, len(short), 4000):
+                some = short[i : i + 4000]
+                out[some] = Lattice(vocab, [new[k] for k in some]).forward(probs)[2]
+            for k in order[len(short) :]:
+                out[k] = long_word(vocab, probs, new[k])
+            return out
 
         def score(texts: list[str | None]) -> Iterator[tuple[str, float]]:
             nonlocal logs
@@ -178,18 +182,18 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
                 yield from (("und", 0.0) for _ in texts)
                 return
             split = [(t or "").split() for t in texts]
-            new = sorted({w for words in split for w in words if w not in known})
+            new = sorted(set().union(*split).difference(known))
             if len(known) + len(new) > MOST_WORDS:
                 known.clear()
                 logs = np.zeros((0, len(langs)))
-                new = sorted({w for words in split for w in words})
+                new = sorted(set().union(*split))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             logs = np.concatenate([logs, learn(new)])
             for t, words in zip(texts, split, strict=True):
                 if not t or not any(map(str.isalpha, t)):
                     yield "und", 0.0
                     continue
-                total = logs[list(map(known.__getitem__, words))].sum(0)
+                total = logs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
                 best = int(total.argmax())
                 yield langs[best], float(1 / np.exp(total - total[best]).sum())
 
