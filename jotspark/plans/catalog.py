@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from jotspark.plans import columns, relational, texts
+from jotspark.plans import columns, nested, relational, texts
 
-MODULES = (relational, columns, texts)
+MODULES = (relational, columns, texts, nested)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
