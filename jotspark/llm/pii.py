@@ -22,8 +22,10 @@ WIDE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]){9,15}(?![0-9])",
     "phone": r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9])",
 }
-#: What a text must hold for a pattern to match at all; cheaper than the pattern.
-HOLDS = {"email": r"@|[\[(] ?at", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){12}", "phone": r"[0-9](?:[ ().-]{0,2}[0-9]){3}"}
+#: What a text must hold for a pattern to match and pass its check at all; cheaper than the pattern. Each is part of its pattern: a base
+#: card has 16 digits or more with at most one separator between two, a base phone number may have any number of them.
+BASE_HOLDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+WIDE_HOLDS = {"email": r"@|[\[(] ?at", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}(?:[ .-]?[0-9]){9}", "phone": r"[0-9](?:[ ().-]{0,2}[0-9]){6}"}
 WORDS = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|credit|pay", "phone": "tel|phone|call|mobile|fax"}
 MARK, OTHER = "\u0001", "\u0003"
 SPAN = "array<struct<start: int, end: int, x: string, before: string>>"
@@ -142,7 +144,7 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.when(t.contains(MARK), F.translate(t, MARK, OTHER)).otherwise(t).alias("t"))
     rows = rows.select(id_col, F.when(F.col("t").rlike(r"@|[0-9]|[\[(] ?at"), F.col("t")).otherwise("").alias("t"))
-    found = rows.select(id_col, *[matches(F.col("t"), BASE[k], HOLDS[k]).alias(f"b_{k}") for k in KINDS], *[matches(F.col("t"), WIDE[k], HOLDS[k]).alias(f"w_{k}") for k in KINDS])
+    found = rows.select(id_col, *[matches(F.col("t"), BASE[k], BASE_HOLDS[k]).alias(f"b_{k}") for k in KINDS], *[matches(F.col("t"), WIDE[k], WIDE_HOLDS[k]).alias(f"w_{k}") for k in KINDS])
     spans, cands = [base_spans(k) for k in KINDS], [candidates(k) for k in KINDS]
     base = stored(found.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col), F.concat(*spans).alias("base"), F.concat(*cands).alias("cands")))
 

@@ -81,6 +81,14 @@ def test_base_spans(spark):
         assert set(want.split(",")) <= {*r.spans.split(","), ""}
 
 
+def test_base_phones_with_long_separators(spark):
+    texts = ["call +49 - 30 - 12 - 34 - 56 now", "+33 - 612 - 345 - 678", "+1 ((2)) ((3)) ((4)) ((5)) ((6)) ((7)) ((8))", "+12 ... 34 ... 56 ... 78", "1+ 2 - - 3", "+1 - - - 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.pii(df).collect():
+        want = base(texts[r.doc_id])
+        assert (r.base_sha256, r.n_phone) == (hashlib.sha256(want.encode()).hexdigest(), want.count("phone")), texts[r.doc_id]
+
+
 def test_lines(spark):
     rows = [(i, f"header of the common page\nown line number {i} with words\nthe user named {'abcdefgh'[i]}x logged in from the office network today") for i in range(6)]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
