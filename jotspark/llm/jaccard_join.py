@@ -97,11 +97,15 @@ def digest(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes()))))
 
 
-def linked(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between queries and members that join what is not yet joined: at most one less than the nodes."""
+def linked(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Links between queries and members that join what is not yet joined, at most one less than the nodes; and for each class the
+    copies it links with here. Every link counts: a pair of one part meets from both sides and counts from its smaller class."""
     if not len(members) or not len(queries):
-        return []
-    ids, sizes = members["node"].to_numpy(), members["n"].to_numpy()
+        return [], {}
+    members, queries = members.drop_duplicates(["node", "cls"]), queries.drop_duplicates(["q_node", "q_cls"])  # repeated rows
+    ids, sizes, classes, copies = (members[c].to_numpy() for c in ("node", "n", "cls", "copies"))
+    inside = set(classes.tolist())
+    met, links = np.zeros(len(ids), np.int64), {}
     tokens = np.concatenate(members["tokens"].to_numpy())
     order = np.argsort(tokens, kind="stable")
     owner = np.repeat(np.arange(len(ids)), sizes)[order]
@@ -115,7 +119,7 @@ def linked(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> list[t
         return x
 
     out = []
-    for q, n, own in zip(queries["q_node"], queries["q_n"], queries["q_tokens"], strict=True):
+    for q, n, own, cls, weight in zip(*(queries[f"q_{c}"] for c in ("node", "n", "tokens", "cls", "copies")), strict=True):
         at = np.searchsorted(union, own)
         at[at == len(union)] = 0
         at = at[union[at] == own]
@@ -124,17 +128,25 @@ def linked(members: pd.DataFrame, queries: pd.DataFrame, percent: int) -> list[t
         lengths = last[at] - first[at]
         spots = np.repeat(first[at] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
         shared = np.bincount(owner[spots], minlength=len(ids))
-        for m in ids[100 * shared >= percent * (n + sizes - shared)]:
+        link = 100 * shared >= percent * (n + sizes - shared)
+        new = link & (classes > cls) if cls in inside else link
+        met[new] += weight
+        if new.any():
+            links[int(cls)] = links.get(int(cls), 0) + int(copies[new].sum())
+        for m in ids[link]:
             a, b = root(int(q)), root(int(m))
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((int(q), int(m)))
-    return out
+    for cls, k in zip(classes[met > 0].tolist(), met[met > 0].tolist(), strict=True):
+        links[cls] = links.get(cls, 0) + k
+    return out, links
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Returns id, n_shingles and component_id of every row: the smallest id reachable over links between documents whose sets of
-    `words`-word shingles (ASCII lower case, words split at ASCII white space) share `percent` per cent of their union.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """Returns id, n_shingles and component_id of every row, and n_links if links is set. component_id is the smallest id reachable over links between documents whose sets of
+    `words`-word shingles (ASCII lower case, words split at ASCII white space) share `percent` per cent of their union. n_links is how many
+    other documents a row links with, each copy counted; of rows that share an id, each different shingle set counts once.
 
     Texts of fewer words are one shingle; null and empty texts have none and link with nothing, nor do rows without an id. Rows of
     equal shingle sets form a class, which is compared once; rows that share an id count as one document. Exact: any pair that
@@ -166,61 +178,72 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     cache: dict[str, np.ndarray] = {}
     base = stored(per_text(rows, words, "id long, n long, cls long, prefix array<long>", prefix))
-    classes = base.filter("n > 0 and id is not null").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copied = stored(classes.filter("copies > 1").drop("copies"))
+    classes = base.filter("n > 0 and id is not null").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.countDistinct("id").alias("copies"))
+    copied = stored(classes.filter("rows > 1").drop("rows"))
 
     # tokens that two classes share, and the nodes (first ids of classes) that hold them
     single = base.filter("n > 0 and id is not null").join(copied, ["cls", "n"], "left").filter("rep is null or rep = id")
-    tokens = single.select(F.col("id").alias("node"), "n", "cls", F.explode("prefix").alias("t"))
+    tokens = single.select(F.col("id").alias("node"), "n", "cls", F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("prefix").alias("t"))
     shared = stored(tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
     if shared.count() <= SMALL:
         shared = F.broadcast(shared)
     held = stored(tokens.join(shared, "t"))
 
     # groups: the most frequent of a node's tokens and its size, to 5 per cent, name its group; large groups have parts
-    named = held.groupBy("node", "n", "cls").agg(F.max(F.struct("df", "t"))["t"].alias("top"))
-    named = named.select("node", "n", "cls", F.xxhash64("top", F.floor(F.log("n") / F.log(F.lit(1.05)))).alias("g"))
+    named = held.groupBy("node", "n", "cls", "copies").agg(F.max(F.struct("df", "t"))["t"].alias("top"))
+    named = named.select("node", "n", "cls", "copies", F.xxhash64("top", F.floor(F.log("n") / F.log(F.lit(1.05)))).alias("g"))
     named = stored(named)
     sizes = named.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     parts = stored(sizes.select("g", F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("s") / MEMBER_SHINGLES)).alias("parts")))
-    member = stored(named.join(parts, "g").select("node", "n", "cls", "g", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
+    member = stored(named.join(parts, "g").select("node", "n", "cls", "copies", "g", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
 
     # the matrix of tokens and groups; a query opens the groups of its tokens that come after its own
-    owned = held.select("t", "node").join(member, "node")
+    owned = held.select("t", "cls").join(member, "cls")
     matrix = stored(owned.groupBy("t", "g", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")))
-    asks = stored(owned.select("t", "node", "n", F.col("g").alias("own_g"), F.col("part").alias("own_part")))
+    asks = stored(owned.select("t", "cls", "n", F.col("g").alias("own_g"), F.col("part").alias("own_part")))
     after = (F.col("g") > F.col("own_g")) | ((F.col("g") == F.col("own_g")) & (F.col("part") >= F.col("own_part")))
     alone = (F.col("g") == F.col("own_g")) & (F.col("part") == F.col("own_part")) & (F.col("c") == 1)
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    hit = asks.join(matrix, "t").filter(after & ~alone).groupBy("node", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
+    hit = asks.join(matrix, "t").filter(after & ~alone).groupBy("cls", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
     opened = stored(hit.filter(fits & (F.col("hits") >= least_hits(percent))).drop("least", "most"))
     load = opened.groupBy("g", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     load = stored(load.select("g", "part", F.greatest(F.ceil(F.col("c") / QUERIES), F.ceil(F.col("s") / QUERY_SHINGLES)).alias("turns")))
 
     # whole sets of the nodes that take part, from a second reading of their texts
+    few_nodes = member.count() <= SMALL  # then the sets stay where they are, and what they are needed for goes to them
+    whose = member.select("cls", "node", "copies")
+    opened = stored(opened.join(F.broadcast(whose) if few_nodes else whose, "cls"))
     active = stored(opened.select("node").union(member.join(load, ["g", "part"], "left_semi").select("node")).distinct().withColumnRenamed("node", "id"))
     few = F.broadcast(active) if active.count() <= SMALL else active
     texts = rows.join(few, "id", "left_semi")
     sets = per_text(texts, words, "node long, n long, cls long, tokens array<long>", lambda s, i, b: (b.column(0)[i].as_py(), len(s), digest(s) if len(s) else None, s))
     sets = stored(sets.filter("n > 0"))
-    few_nodes = member.count() <= SMALL  # then the sets stay where they are, and what they are needed for goes to them
     side = F.broadcast if few_nodes and opened.count() <= SMALL else (lambda df: df)
     turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn")
-    seats = stored(member.join(load, ["g", "part"]).select("node", "cls", "g", "part", turn))
-    members = sets.join(side(seats), ["node", "cls"]).select("node", "n", "tokens", "g", "part", "turn")
-    visits = stored(opened.join(load, ["g", "part"]).select("node", "g", "part", F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn")))
-    queries = sets.select("node", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")).join(side(visits), "node")
-    queries = queries.select(F.col("node").alias("q_node"), "q_n", "q_tokens", F.col("g").alias("q_g"), F.col("part").alias("q_part"), F.col("turn").alias("q_turn"))
+    seats = stored(member.join(load, ["g", "part"]).select("node", "cls", "copies", "g", "part", turn))
+    members = sets.join(side(seats), ["node", "cls"]).select("node", "n", "cls", "copies", "tokens", "g", "part", "turn")
+    visits = stored(opened.join(load, ["g", "part"]).select("node", "cls", "copies", "g", "part", F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn")))
+    queries = sets.select("node", "cls", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")).join(side(visits), ["node", "cls"])
+    queries = queries.select(F.col("node").alias("q_node"), F.col("cls").alias("q_cls"), F.col("copies").alias("q_copies"), "q_n", "q_tokens", F.col("g").alias("q_g"), F.col("part").alias("q_part"), F.col("turn").alias("q_turn"))
 
     def meet(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(linked(members, queries, percent), columns=["a", "b"], dtype="int64")
+        joins, counts = linked(members, queries, percent)
+        both = [(a, b, False) for a, b in joins] + [(a, b, True) for a, b in counts.items()]
+        return pd.DataFrame({"a": np.array([x[0] for x in both], np.int64), "b": np.array([x[1] for x in both], np.int64), "count": np.array([x[2] for x in both], bool)})
 
-    edges = members.groupBy("g", "part", "turn").cogroup(queries.groupBy("q_g", "q_part", "q_turn")).applyInPandas(meet, "a long, b long")
-    joined = components(edges)
+    met = stored(members.groupBy("g", "part", "turn").cogroup(queries.groupBy("q_g", "q_part", "q_turn")).applyInPandas(meet, "a long, b long, count boolean"))
+    joined = components(met.filter("not count").select("a", "b"))
 
     out = base.select("id", "n", "cls").join(copied, ["cls", "n"], "left").withColumn("node", F.coalesce("rep", "id"))
     out = out.join(joined, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")]
+    if not links:
+        return out.select(columns)
+    counts = stored(met.filter("count").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("met")))
+    out = out.join(F.broadcast(counts) if counts.count() <= SMALL else counts, "cls", "left")
+    zero = F.lit(0).cast("long")
+    others = F.coalesce("met", zero) + F.coalesce("copies", F.lit(1)) - 1
+    return out.select(*columns, F.when((F.col("n") > 0) & F.col("id").isNotNull(), others).otherwise(zero).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -230,4 +253,4 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Da
 
 
 def op10_jaccard_join(spark, sf_dir):
-    return jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85, links=True)

@@ -57,3 +57,30 @@ def test_odd_tables(spark):
     got = sorted((tuple(r) for r in jaccard_join(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (2, 0, 2)], key=str) or got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2)], key=str)
     assert jaccard_join(df.limit(0)).count() == 0
+
+
+def brute_links(rows, words, percent):
+    sets = set()
+    for i, t in rows:
+        w = bytes((t or ""), "utf-8").lower().split()
+        if w and i is not None:
+            sets.add((i, frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)])))
+    return sorted((i, len(s), sum((j, r) != (i, s) and 100 * len(s & r) >= percent * len(s | r) for j, r in sets)) for i, s in sets)
+
+
+def test_links_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(60)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 60, 4)]  # all linked with each other
+    rows = [(100 + i, t) for i, t in enumerate(near + near[:3] + near[:1])] + texts()
+    rows += [(100, near[5]), (100, near[0]), (7, near[2]), (None, near[1])]  # rows that share an id, one of them twice
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows, 4, 70)
+    assert max(n for _, _, n in want) > 15
+    for small in (False, True):
+        if small:
+            for name, value in (("MEMBERS", 2), ("QUERIES", 3), ("SMALL", 0)):
+                monkeypatch.setattr(module, name, value)
+        got = {(r.doc_id, r.n_shingles, r.n_links, i) for i, r in enumerate(jaccard_join(df, words=4, percent=70, links=True).collect())}
+        assert sorted({(a, b, c) for a, b, c, _ in got if a is not None and b}) == sorted(set(want))
+        assert all(c == 0 for a, b, c, _ in got if a is None or not b)
