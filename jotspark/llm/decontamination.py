@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from jotspark.llm.common import table
 
-#: Length of the q-grams, of a passage's windows and of the step between them, in normalised characters.
-Q, WINDOW, STEP = 10, 100, 50
-#: Edits allowed for a character of a window; shorter items than LEAST say too little and are left out.
+#: Length of the q-grams and of a passage's windows, which start at every character, in normalised characters.
+Q, WINDOW = 10, 100
+#: Edits allowed for a character of a window; shorter items than LEAST say too little for edits and are found as whole words only.
 RATE, LEAST = 0.06, 20
 #: Characters of benchmark text that are broadcast at once; more are taken in blocks.
 BLOCK_CHARS = 20_000_000
@@ -41,39 +41,51 @@ def grams(c: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def plain(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def budget(length: int) -> int:
     return min(int(RATE * length), (length + 1) // Q - 2)
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """Edits, start and end of the best place of the pattern in the text on diagonals low to high; None over `most` edits."""
-    width, far = high - low + 1, most + 1
-    d = np.arange(low, high + 1)
+def aligned(patterns: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pattern (a row): edits, start and end of its best place in the text on `width` diagonals from its low one on."""
+    far, lane = most + 1, np.arange(width)
+    d = low[:, None] + lane
     cost = np.where((d >= 0) & (d <= len(text)), 0, far)
-    begin = d.copy()
-    for i, x in enumerate(pattern):
+    begin, edge = d.copy(), np.full((len(d), 1), far + 1)
+    for i in range(patterns.shape[1]):
         at = i + d  # text position that a diagonal step takes
         ok = (at >= 0) & (at < len(text))
-        step = cost + np.where(ok & (text[np.clip(at, 0, max(0, len(text) - 1))] == x), 0, 1) if len(text) else cost + 1
-        step = np.where(ok, step, far + 1)
-        drop = np.r_[cost[1:] + 1, far + 1]  # a pattern character is left out
+        same = text[np.clip(at, 0, max(0, len(text) - 1))] == patterns[:, i : i + 1] if len(text) else ok
+        step = np.where(ok, cost + ~same, far + 1)
+        drop = np.concatenate([cost[:, 1:] + 1, edge], 1)  # a pattern character is left out
         both = np.minimum(step, drop)
-        start = np.where(step <= drop, begin, np.r_[begin[1:], 0])
-        run = np.minimum.accumulate(both - np.arange(width)) + np.arange(width)  # text characters are left out
-        source = np.maximum.accumulate(np.where(run == both, np.arange(width), 0))
-        cost, begin = np.minimum(run, far + 1), start[source]
-        end = i + 1 + d
+        start = np.where(step <= drop, begin, np.concatenate([begin[:, 1:], 0 * edge], 1))
+        run = np.minimum.accumulate(both - lane, 1) + lane  # text characters are left out
+        source = np.maximum.accumulate(np.where(run == both, lane, 0), 1)
+        cost, begin = np.minimum(run, far + 1), np.take_along_axis(start, source, 1)
+        end = at + 1
         cost = np.where((end >= 0) & (end <= len(text)), cost, far + 1)
-    best = int(cost.argmin())
-    return (int(cost[best]), int(begin[best]), int(len(pattern) + d[best])) if cost[best] <= most else None
+    best = cost.argmin(1)
+    rows = np.arange(len(d))
+    return cost[rows, best], begin[rows, best], patterns.shape[1] + d[rows, best]
+
+
+def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """Edits, start and end of the best place of the pattern in the text on diagonals low to high; None over `most` edits."""
+    cost, begin, end = (int(x[0]) for x in aligned(pattern[None, :], text, np.array([low]), high - low + 1, most))
+    return (cost, begin, end) if cost <= most else None
 
 
 class Benchmark:
-    """Windows of all items and an index of their q-grams."""
+    """All items and an index of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, np.ndarray, int, int]] = []  # item, characters, edits, q-grams needed
-        h, win, pos = [], [], []
+        self.items: list[tuple[int, np.ndarray, int, int]] = []  # item, characters, length of its windows, edits
+        self.short: dict[str, list[tuple[int, str]]] = {}  # by first word
+        h, own, pos = [], [], []
         for item, text in items:
             c = normal(text)[0]
             if len(c) and c[0] == 32:
@@ -81,78 +93,129 @@ class Benchmark:
             if len(c) and c[-1] == 32:
                 c = c[:-1]
             if len(c) < LEAST:
+                words = plain(c)
+                if words:
+                    self.short.setdefault(words.split(" ")[0], []).append((item, words))
                 continue
-            last = max(0, len(c) - WINDOW)
-            for s in sorted({*range(0, last + 1, STEP), last}):
-                w = c[s : s + WINDOW]
-                e = max(0, budget(len(w)))
-                g = grams(w)
-                h.append(g)
-                win += [len(self.windows)] * len(g)
-                pos += range(len(g))
-                self.windows.append((item, w, e, max(1, len(w) + 1 - Q * (e + 1))))
+            g = grams(c)
+            h.append(g)
+            own.append(np.full(len(g), len(self.items)))
+            pos.append(np.arange(len(g)))
+            n = min(len(c), WINDOW)
+            self.items.append((item, c, n, max(0, budget(n))))
         h = np.concatenate(h) if h else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.win, self.pos = np.array(win, np.int64)[order], np.array(pos, np.int64)[order]
+        self.own, self.pos = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (own, pos))
         self.gram, self.first = np.unique(h[order], return_index=True)
         self.last = np.r_[self.first[1:], len(h)].astype(np.int64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.gram >> np.uint64(3)).astype(np.int64) & (len(self.bits) - 1)] = True
-        self.edits = np.array([w[2] for w in self.windows], np.int64)
-        self.need = np.array([w[3] for w in self.windows], np.int64)
+        self.edits = np.array([x[3] for x in self.items], np.int64)
+        self.reach = np.array([x[2] - Q for x in self.items], np.int64)  # from a window's first q-gram to its last
+        self.need = np.array([max(1, n + 1 - Q * (e + 1)) for _, _, n, e in self.items], np.int64)
 
     def find(self, texts: list[str]) -> list[list[dict]]:
-        """Of each text: the items of which a window lies in it within the budget, with place, edits and shared q-grams."""
+        """Of each text: the passages in which windows of an item lie within the budget, with place, edits and shared q-grams."""
         out: list[list[dict]] = [[] for _ in texts]
         parts = [normal(t) for t in texts]
+        if self.short:
+            for (c, place), to in zip(parts, out, strict=True):
+                to += self.exact(c, place)
         starts = np.cumsum([0] + [len(c) + Q for c, _ in parts])
         all_c = np.zeros(starts[-1], np.uint32)
         for (c, _), s in zip(parts, starts, strict=False):
             all_c[s : s + len(c)] = c
         h = grams(all_c)
         at = np.flatnonzero(self.bits[(h >> np.uint64(3)).astype(np.int64) & (len(self.bits) - 1)])
-        if not len(at) or not len(self.gram):
-            return out
-        k = np.minimum(np.searchsorted(self.gram, h[at]), len(self.gram) - 1)
-        at, k = (x[self.gram[k] == h[at]] for x in (at, k))
-        n = self.last[k] - self.first[k]
-        spot = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        win, diagonal = self.win[spot], np.repeat(at, n) - self.pos[spot]
-        wide = 2 * (self.edits[win] + 1)
-        found = []
+        if len(at) and len(self.gram):
+            k = np.minimum(np.searchsorted(self.gram, h[at]), len(self.gram) - 1)
+            at, k = (x[self.gram[k] == h[at]] for x in (at, k))
+            n = self.last[k] - self.first[k]
+            spot = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            doc = np.searchsorted(starts, at, side="right") - 1
+            self.verify(self.own[spot], np.repeat(doc, n), np.repeat(at - starts[doc], n) - self.pos[spot], self.pos[spot], parts, out)
+        return [sorted(x, key=lambda y: (y["item_id"], y["start"])) for x in out]
+
+    def exact(self, c: np.ndarray, place: np.ndarray) -> list[dict]:
+        """All places of the short items as whole words."""
+        text, found = f" {plain(c)} ", []
+        for first in set(text.split(" ")).intersection(self.short):
+            for item, words in self.short[first]:
+                i = text.find(f" {words} ")
+                while i >= 0:
+                    found.append({"item_id": item, "start": int(place[i]), "end": int(place[i + len(words) - 1]) + 1, "edits": 0, "shared": max(0, len(words) - Q + 1)})
+                    i = text.find(f" {words} ", i + 1)
+        return found
+
+    def verify(self, own: np.ndarray, doc: np.ndarray, diagonal: np.ndarray, pos: np.ndarray, parts: list, out: list[list[dict]]) -> None:
+        """From shared q-grams to passages: all windows whose band holds enough of them are aligned."""
+        wide = 2 * (self.edits[own] + 1)
+        met: dict[tuple[int, int], list[np.ndarray]] = {}  # of a text and an item: windows found, as rows of start, place, end, edits, shared
         for shift in (0, 1):  # bands overlap by half: the diagonals of a match lie whole in one of them
             band = (diagonal + shift * wide // 2) // wide
-            key = np.stack([win, band])
-            order = np.lexsort(key)
-            a, b = win[order], band[order]
-            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            count = np.diff(np.r_[cut, len(a)])
-            good = count >= self.need[a[cut]]
-            low = b[cut] * wide[order][cut] - shift * (wide[order][cut] // 2)
-            found += zip(count[good].tolist(), a[cut][good].tolist(), low[good].tolist(), wide[order][cut][good].tolist(), strict=True)
-        seen = set()
-        for shared, w, low, width in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            item, pattern, edits, _ = self.windows[w]
-            doc = int(np.searchsorted(starts, low + width - 1, side="right")) - 1
-            for d in (doc - 1, doc):  # a band may start before its text
-                if not 0 <= d < len(texts) or (d, item) in seen or low + width + len(pattern) <= starts[d] or low - edits >= starts[d] + len(parts[d][0]):
+            order = np.lexsort((pos, band, doc, own))
+            o, d, b, p = own[order], doc[order], band[order], pos[order]
+            end = np.minimum(np.arange(len(o)) + self.need[o] - 1, len(o) - 1)
+            same = (o[end] == o) & (d[end] == d) & (b[end] == b) & (end - np.arange(len(o)) == self.need[o] - 1)
+            good = same & (p[end] - p <= self.reach[o])
+            cut = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1])]) if len(o) else np.zeros(0, np.int64)
+            for lo, hi in zip(cut, np.r_[cut[1:], len(o)], strict=True):
+                ok = np.flatnonzero(good[lo:hi]) + lo
+                if not len(ok):
                     continue
-                c, place = parts[d]
-                off = int(starts[d])
-                hit = banded(pattern, c, low - off - edits, low - off + width - 1 + edits, edits)
-                if hit:
-                    seen.add((d, item))
-                    out[d].append({"item_id": item, "start": int(place[hit[1]]), "end": int(place[hit[2] - 1]) + 1, "edits": hit[0], "shared": shared})
-        return [sorted(x, key=lambda y: y["item_id"]) for x in out]
+                i, text_no = int(o[lo]), int(d[lo])
+                _, c, n, edits = self.items[i]
+                mark = np.zeros(len(c) - n + 2, np.int64)
+                first, last = np.maximum(0, p[end[ok]] - self.reach[i]), np.minimum(p[ok], len(c) - n)
+                np.add.at(mark, first, 1)
+                np.add.at(mark, last + 1, -1)
+                w = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                shared = np.searchsorted(p[lo:hi], w + self.reach[i], "right") - np.searchsorted(p[lo:hi], w)
+                low, width = int(b[lo]) * 2 * (edits + 1) - shift * (edits + 1) - edits, 4 * edits + 2
+                seen = met.setdefault((text_no, i), [])
+                for x in seen:  # a window found on these diagonals need not be found again
+                    there = x[(x[:, 1] - x[:, 0] >= low) & (x[:, 1] - x[:, 0] < low + width), 0]
+                    left = ~np.isin(w, there)
+                    w, shared = w[left], shared[left]
+                text = parts[text_no][0]
+                for x in np.unique(diagonal[order[ok]]).tolist():  # windows without an edit need no alignment
+                    a, z = max(0, -x), min(len(c), len(text) - x)
+                    if z - a < n:
+                        continue
+                    equal = np.zeros(len(c) + 1, np.int64)
+                    equal[a + 1 : z + 1] = np.cumsum(c[a:z] == text[a + x : z + x])
+                    equal[z + 1 :] = equal[z]
+                    same_all = equal[w + n] - equal[w] == n
+                    if same_all.any():
+                        s = w[same_all]
+                        seen.append(np.stack([s, s + x, s + x + n, 0 * s, shared[same_all]], 1))
+                        w, shared = w[~same_all], shared[~same_all]
+                for k in range(0, len(w), 512):
+                    s = w[k : k + 512]
+                    cost, begin, stop = aligned(c[s[:, None] + np.arange(n)], text, low + s, width, edits)
+                    hit = cost <= edits
+                    if hit.any():
+                        seen.append(np.stack([s, begin, stop, cost, shared[k : k + 512]], 1)[hit])
+        for (text_no, i), found in met.items():
+            place = parts[text_no][1]
+            rows = sorted(np.concatenate(found)[:, 1:].tolist()) if found else []
+            passages: list[list[int]] = []
+            for start, stop, cost, shared in rows:  # windows that overlap are one passage
+                if passages and start < passages[-1][1]:
+                    x = passages[-1]
+                    x[1:] = [max(x[1], stop), min(x[2], cost), max(x[3], shared)]
+                else:
+                    passages.append([start, stop, cost, shared])
+            out[text_no] += [{"item_id": self.items[i][0], "start": int(place[a]), "end": int(place[z - 1]) + 1, "edits": e, "shared": k} for a, z, e, k in passages]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Returns id, the columns in keep, and leaks: for each benchmark item found in the text, item_id, start, end (code
-    points), edits and shared q-grams.
+    """Returns id, the columns in keep, and leaks: for each passage of a benchmark item found in the text, item_id, start, end (code
+    points), and the least edits and most shared q-grams of its windows.
 
-    Texts are compared as lower-case letters and digits with single spaces. An item is found if one of its windows (100
-    characters every 50, the whole item if shorter) lies in the text with at most 6 edits in 100 characters. Items under 20 characters and
-    null texts or items have no part; repeated rows are searched each; empty tables give no leaks. One pass over the documents, without a
+    Texts are compared as lower-case letters and digits with single spaces. An item is found where one of its windows (100
+    characters from any place on, the whole item if shorter) lies in the text with at most 6 edits in 100 characters; windows that overlap in the
+    text are one passage, whose ends may reach beyond the quote by about the edits allowed. Items under 20 characters are found without edits as whole words. Null texts or items have no part; repeated rows are searched each; empty tables give no leaks. One pass over the documents, without a
     shuffle, for each 20 million characters of benchmark, which bounds what is broadcast.
     """
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))

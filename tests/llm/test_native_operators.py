@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -64,6 +65,24 @@ def test_alignment_and_search():
     assert banded(p, t, -3, 8, 3)[:1] == (edits(p.tolist(), t.tolist()),)
 
 
+def test_quotes_from_any_place_and_short_items():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    item = " ".join(word() for _ in range(70))
+    index = Benchmark([(7, item), (8, "Forty-Two!"), (9, "..")])
+    pad = " ".join(word() for _ in range(40))
+    for k in range(0, len(item) - 100, 13):  # a quote as long as a window, from any place on
+        hits = index.find(["x", f"{pad} {item[k : k + 100]} {pad}"])[1]
+        assert [h["item_id"] for h in hits] == [7] and hits[0]["edits"] == 0, k
+        assert abs(hits[0]["start"] - len(pad) - 1) <= 15 and abs(hits[0]["end"] - len(pad) - 101) <= 15
+    assert not index.find([f"{pad} {item[20:105]} {pad}"])[0]
+    hits = index.find([f"{item} {pad} {item[50:250]} {pad} {item[100:300].replace('a', 'a', 1)}"])[0]  # all copies, and all of each
+    assert [h["item_id"] for h in hits] == [7, 7, 7] and hits[0]["start"] == 0 and abs(hits[0]["end"] - len(item)) <= 15
+    assert all(h["end"] - h["start"] >= 190 for h in hits)
+    hits = index.find(["forty two, not forty twos; FORTY -- TWO"])[0]
+    assert [(h["item_id"], h["start"], h["end"]) for h in hits] == [(8, 0, 9), (8, 27, 39)]
+
+
 def base(t):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(reversed(d))) % 10 == 0
     num = lambda s: re.sub("[^0-9]", "", s)
