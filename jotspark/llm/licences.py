@@ -11,6 +11,7 @@ from jotspark.llm.common import stored, table
 WORDS, BANDS, PERCENT = 3, 32, 80
 #: A window of two strides holds any run of a template of up to one stride of shingles; their Jaccard similarity is then at least a
 #: quarter, so one of 32 bands meets with odds of 1 - 0.75^32 > 0.9998 at the least, and above that for longer templates.
+#: These are the strides of templates up to 256 shingles, as the SQL has them; longer ones go on by powers of two.
 STRIDES = (2, 4, 8, 16, 32, 64, 128, 256)
 
 # Public license notices.
@@ -84,9 +85,8 @@ def templates(spark, rows: list[tuple[str, str]]) -> DataFrame:
     """id, distinct shingles and stride of each template, as given by the caller: a list held in the program."""
     given = F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in rows])).alias("x")
     t = shingled(spark.range(1).select(given).select("x.license", "x.body"), "body", F.col("license")).withColumn("t_sh", F.array_distinct("sh")).filter(F.size("t_sh") > 0)
-    longest = F.size("sh")
-    stride = F.coalesce(*[F.when(longest <= m, m) for m in STRIDES])
-    return stored(t.filter(stride.isNotNull()).select("license", "t_sh", stride.alias("stride")).coalesce(1))
+    stride = F.greatest(F.lit(2), F.expr("shiftleft(1, length(bin(size(sh) - 1)))"))  # the least power of two that the length does not exceed
+    return stored(t.select("license", "t_sh", stride.alias("stride")).coalesce(1))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Windows of 2m shingles start every m shingles, m being the least power of two that a template's length does not exceed. Only texts and
     windows that hold a shingle of some template are hashed further, which loses nothing: a window without one shares no band. Templates
-    of fewer than three words or over 256 shingles are refused silently; null, empty and short texts find nothing; rows of one id are
+    of fewer than three words hold no shingle and are never found, of any greater length they are; null, empty and short texts find nothing; rows of one id are
     taken together; an empty table gives none. Templates come as a list in the program, and their bands are broadcast.
     """
     t = templates(docs.sparkSession, TEMPLATES if rows is None else rows)

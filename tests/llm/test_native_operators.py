@@ -108,6 +108,17 @@ def test_base_phones_with_long_separators(spark):
         assert (r.base_sha256, r.n_phone) == (hashlib.sha256(want.encode()).hexdigest(), want.count("phone")), texts[r.doc_id]
 
 
+def test_full_length_templates(spark):
+    words = [f"w{k}" for k in range(3000)]
+    rows = [("long", " ".join(words)), ("mid", " ".join(words[:258])), ("odd", " ".join(words[1000:1259])), ("five", "a b c d e")]
+    other = " ".join(f"x{k}" for k in range(700))
+    texts = [f"{other} {b} {other}" for _, b in rows] + [other, " ".join(words[:2500]), " ".join(words[:2300])]
+    got = licences.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rows=rows).collect()
+    found = {(r.doc_id, r.license) for r in got}
+    assert found == {(0, "long"), (0, "mid"), (0, "odd"), (1, "mid"), (2, "odd"), (3, "five"), (5, "long"), (5, "mid"), (5, "odd"), (6, "mid"), (6, "odd")}
+    assert {(r.license, r.n_shared, r.n_template) for r in got if r.doc_id == 0} == {("long", 2998, 2998), ("mid", 256, 256), ("odd", 257, 257)}
+
+
 def test_lines(spark):
     rows = [(i, f"header of the common page\nown line number {i} with words\nthe user named {'abcdefgh'[i]}x logged in from the office network today") for i in range(6)]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
