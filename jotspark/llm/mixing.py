@@ -105,7 +105,8 @@ def mix(
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce("__id", F.lit(""))).cast("binary"))
     head = F.substring("__h", 1, 4)
     more = (head < F.col("edge")) | ((head == F.col("edge")) & (F.struct(F.col("__h").alias("h"), F.coalesce("__id", F.lit("")).alias("id")) <= F.col("last")))
-    out = out.withColumn("__h", h).withColumn("copies", F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).filter("copies > 0")
+    more = F.when(F.col("edge").isNull(), True).otherwise(F.coalesce(more, F.lit(False)))  # a leaf without tokens has no edge: all its rows fit
+    out = out.withColumn("__h", h).withColumn("copies", F.col("epochs") + more.cast("long")).filter("copies > 0")
     return out.select(id_col, *keep, F.col("__domain").alias("domain"), F.col("__lang").alias("leaf_lang"), F.col("__source").alias("leaf_source"), n_tokens(F.col("__text")).alias("n_tokens"), "copies")
 
 

@@ -126,6 +126,17 @@ def test_lines(spark):
     assert all(got[i] == "" for i in range(1, 6))
 
 
+def test_leaf_without_tokens_equals_sql(spark):
+    rows = [(1, None, "it", "src9"), (2, "", "it", "src9"), (3, "", None, None), (4, "a b c", "en", "src1"), (5, None, "en", "src1"), (6, "d e " * 20, "de", "src2"), (7, "f", "de", "src2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.execute("create table d (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into d values (?, ?, ?, ?)", rows)
+    got = corpus_pipeline.mixing.mix(df, domain_weights=mixing.DOMAINS, lang_weights=mixing.LANGS).select("doc_id", "domain", "leaf_lang", "leaf_source", "n_tokens", "copies").collect()
+    assert {1, 2, 3} <= {r.doc_id for r in got}
+    assert sorted(map(tuple, got)) == sorted(con.execute(mixing.oracle("d")).fetchall())
+
+
 def test_budget_goes_to_siblings_first(spark):
     rows = [("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d0", "fr", "c", 1000), ("d1", "en", "e", 1000)]
     got = {r.source: r.alloc for r in mixing.budgets(spark.createDataFrame(rows, "domain string, lang string, source string, tokens long"), 800, 1, {}, {}, {}).collect()}
