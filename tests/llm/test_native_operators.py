@@ -108,6 +108,53 @@ def test_base_phones_with_long_separators(spark):
         assert (r.base_sha256, r.n_phone) == (hashlib.sha256(want.encode()).hexdigest(), want.count("phone")), texts[r.doc_id]
 
 
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(11)
+    parts = ["+1", "+", "4111111111111111", "4111-1111", " 1111 1111", "1.2.3.4", "256.1.1.1", ".", "-", " ", "a@b.c", "@x", "me", "(030)", "12", "7", "00", "_", "%", "\n", "é", "5555 5555 5555 4444", "--", "+49 - 30 - 12"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(10_000)]
+    for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect():
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id]
+        kinds = [s.split(":") for s in r.spans.split(",") if s]
+        assert set(want.split(",")) <= {*r.spans.split(","), ""}
+        for k in pii.KINDS:
+            own = [(int(a), int(b)) for kind, a, b in kinds if kind == k]
+            assert own == sorted(own)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@host.org +49 30 {1000000 + i}" for i in range(30_000))  # about 1 MB
+    r = pii.pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_email == r.n_phone == 30_000 and r.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
+
+
+def test_altered_formats_are_found(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    num = lambda k: "".join(rng.choices("0123456789", k=k))
+    rows, altered = [], {}
+    for i in range(3000):
+        kind, filler = i % 5, f"{word()} {word()} "
+        if kind == 0:
+            x = f"mail {word()}@{word()}.org" if i % 3 else f"write {word()} [at] {word()} [dot] org"
+        elif kind == 1:
+            x = f"call +49 {num(3)} {num(7)}" if i % 3 else f"phone 0049 {num(3)} {num(7)}"
+        elif kind == 2:
+            x = f"order 20{num(2)}-0{num(1)}-1{num(1)} version {num(1)}.{num(2)}"
+        elif kind == 3:
+            x = f"item {num(9)} of {num(8)}"
+        else:
+            x = f"host 10.{i % 250}.3.{i % 200}"
+        if kind < 2 and not i % 3:
+            altered[i] = "email" if kind == 0 else "phone"
+        rows.append((i, filler + x + " " + filler))
+    found = {r.doc_id: r.spans for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    caught = {k: [k2 in found[i] for i, k2 in altered.items() if k2 == k] for k in ("email", "phone")}
+    assert sum(caught["email"]) >= 0.9 * len(caught["email"]) and sum(caught["phone"]) >= 0.9 * len(caught["phone"])
+    wrong = [i for i in found if i % 5 in (2, 3) and found[i]]
+    assert len(wrong) <= 0.05 * 1200, len(wrong)
+
+
 def test_full_length_templates(spark):
     words = [f"w{k}" for k in range(3000)]
     rows = [("long", " ".join(words)), ("mid", " ".join(words[:258])), ("odd", " ".join(words[1000:1259])), ("five", "a b c d e")]
