@@ -52,3 +52,12 @@ def positional(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     names = [(f"__c{i}", c) for i, c in enumerate(docs.columns)]
     new = {old: new for new, old in names}
     return docs.toDF(*new.values()), new[id_col], new[text_col], names
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, or name_1 and so on if a column has it (Spark compares names without case)."""
+    used, k, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in used:
+        k += 1
+        out = f"{name}_{k}"
+    return out

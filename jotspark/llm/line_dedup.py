@@ -6,12 +6,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jotspark.llm.common import stored, table
+from jotspark.llm.common import free, positional, stored, table
 
 #: Depth of the tree below the token count, least tokens of a line that can be dropped, documents from which a template recurs.
 DEPTH, LEAST_TOKENS, MIN_DOCS = 3, 5, 3
-#: A position is constant if this share of a leaf's lines agrees; a template needs this share of constant positions.
-AGREE, CONSTANT = 0.5, 0.6
+#: Lines of so many tokens recur from two documents on, as they stand.
+LONG_TOKENS, LONG_DOCS = 50, 2
+#: A template of several lines needs this share of constant positions. A leaf's templates are read at several levels: at level j a token is
+#: constant if it stands at its place in min_docs * STEP^j of the leaf's lines.
+CONSTANT, STEP = 0.6, 3
 WILD = "<*>"
 #: Dropped lines up to this number may be broadcast (about 40 bytes each); beyond it the join is by shuffle.
 SMALL = 500_000
@@ -27,68 +30,79 @@ def n_tokens(mask: Column) -> Column:
     return F.length(mask) - F.length(F.replace(mask, F.lit(" "), F.lit(""))) + 1
 
 
-def template_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each document's distinct templates of enough tokens: doc (a hash of the row), id, mask."""
-    masks = F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), masked))
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), F.explode(masks).alias("mask"))
-    return rows.filter(n_tokens(F.col("mask")) >= LEAST_TOKENS)
+def template_lines(docs: DataFrame) -> DataFrame:
+    """Each document's distinct masks of enough tokens: doc (a hash of the row), id, mask, its two hashes and its leaf."""
+    masks = F.array_distinct(F.transform(F.split("text", "\n", -1), masked))
+    rows = docs.select("doc", "id", F.explode(masks).alias("mask")).filter(n_tokens(F.col("mask")) >= LEAST_TOKENS)
+    lead = F.xxhash64(n_tokens(F.col("mask")), F.substring_index("mask", " ", DEPTH))
+    return rows.withColumns({"t1": F.xxhash64("mask"), "t2": F.hash(F.lit(7), F.col("mask")), "leaf": lead})
 
 
-def keys(df: DataFrame) -> DataFrame:
-    lead = F.xxhash64(n_tokens(F.col("mask")), F.substring_index("mask", " ", DEPTH))
-    return df.withColumns({"t1": F.xxhash64("mask"), "t2": F.hash(F.lit(7), F.col("mask")), "leaf": lead})
-
-
-def general(docs: DataFrame, id_col: str, text_col: str, templates: DataFrame, min_docs: int) -> DataFrame:
-    """Templates that differ in variable positions only: t1, t2 and the first id of the wider template they share."""
-    leaves = templates.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
-    wanted = stored(templates.join(leaves, "leaf"))  # few: most leaves hold one template
-    names = wanted.select("t1", "t2").distinct()
-    lines = keys(template_lines(docs, id_col, text_col)).select("t1", "t2", "mask").join(F.broadcast(names) if wanted.count() <= SMALL else names, ["t1", "t2"], "left_semi")
-    words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask")).join(wanted, ["t1", "t2"]).select("t1", "t2", "leaf", "n", "docs", "first", F.split("mask", " ").alias("tokens")))
-    seen = words.select("leaf", "docs", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"), F.first("docs").alias("docs"))
-    top = seen.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("x"), F.first("docs").alias("docs"))
-    chosen = F.when(F.col("x.n") >= AGREE * F.col("docs"), F.col("x.token")).otherwise(WILD)
-    tree = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", chosen.alias("token")))).alias("path"))  # one entry a position
-    tree = tree.select("leaf", F.transform("path", lambda x: x["token"]).alias("path"))
-    constant = F.size(F.filter("path", lambda x: x != WILD))
-    tree = stored(tree.filter((constant >= CONSTANT * F.size("path")) & (constant < F.size("path"))))
-    fits = words.join(tree, "leaf").filter(F.forall(F.zip_with("path", "tokens", lambda p, t: (p == WILD) | (p == t)), lambda x: x))
-    fits = stored(fits.select("t1", "t2", "leaf", "n", "first"))
-    wide = stored(fits.groupBy("leaf").agg(F.sum("n").alias("docs"), F.min("first").alias("wide_first")).filter(F.col("docs") >= min_docs).drop("docs"))
-    return fits.join(wide, "leaf").select("t1", "t2", F.col("wide_first").alias("first"))
+def joined(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a table of distinct keys, broadcast if it is small; the large side of a shuffled join may be split by key."""
+    return df.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Returns docs with the recurring lines taken out of the text, and n_dropped (lines taken out of the row).
+def general(docs: DataFrame, masks: DataFrame, min_docs: int) -> DataFrame:
+    """Masks of lines that differ in variable fields only: t1, t2 and the first id of the widest template that they share.
 
-    A line's template is its tokens, those with a digit as wildcards; leaves of the tree are token count and first three tokens. Within a
-    leaf, positions on which no half of the documents agree become wildcards if three in five positions are constant.
-    A template of five or more tokens that min_docs rows hold is dropped from all rows but those of its smallest id. Rows are never
-    dropped; null texts stay null and empty ones empty. Repeated rows keep or lose the same lines. Line breaks
-    are \\n; the other lines stay as they are, in their order.
+    A leaf may hold any number of families of lines: a token that many of the leaf's documents have at its place is part of some family's
+    constant text, a rare one fills a field. What is rare depends on the family's size, so each line gives a template
+    for each level of frequency; those with enough constant places that enough documents share are families.
+    """
+    leaves = masks.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
+    wanted = stored(joined(masks, leaves, ["leaf"]).select("t1", "t2", "n", "docs"))  # few: most leaves hold one mask
+    lines = stored(joined(template_lines(docs), wanted, ["t1", "t2"]))
+    words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("docs").alias("docs")))
+    places = words.select("t1", "t2", "leaf", "docs", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
+    seen = stored(places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("c")))
+    placed = joined(places, seen, ["leaf", "at", "token"])
+    full = placed.groupBy("t1", "t2", "leaf", "docs").agg(F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("line"))  # of one line
+    top = F.floor(F.log(F.col("docs") / float(min_docs)) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
+    levels = F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))), lambda j: F.pow(F.lit(float(STEP)), j) * min_docs)
+    paths = F.transform(levels, lambda least: F.transform("line", lambda x: F.when(x["c"] >= least, x["token"]).otherwise(WILD)))
+    paths = F.filter(F.array_distinct(paths), lambda p: (F.size(F.filter(p, lambda x: x != WILD)) >= CONSTANT * F.size(p)) & F.array_contains(p, WILD))
+    each = full.select("t1", "t2", "leaf", F.explode(F.transform(paths, lambda p: F.array_join(p, " "))).alias("path"))
+    each = stored(each.select("t1", "t2", F.xxhash64("leaf", "path").alias("p1"), F.hash(F.lit(7), F.col("path")).alias("p2")))
+    met = lines.select("doc", "id", "t1", "t2").join(each, ["t1", "t2"]).select("p1", "p2", "doc", "id").distinct()
+    families = stored(met.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).drop("n"))
+    return joined(each, families, ["p1", "p2"]).groupBy("t1", "t2").agg(F.min("first").alias("first"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Returns docs with the recurring lines taken out of the text, and n_dropped (lines taken out of the row; n_dropped_1 and so on
+    if docs has such a column).
+
+    A line's mask is its tokens, those with a digit as wildcards; leaves of the tree are token count and first three tokens. Within a
+    leaf, tokens that are rare at their place become wildcards too (see general), if three in five positions are constant.
+    A template of five or more tokens that min_docs rows hold, or a mask of 50 or more that two rows hold, is dropped from all rows but
+    those of its smallest id (of the smallest of all templates that a line fits). Rows are never dropped; null texts stay null and
+    empty ones empty; rows without an id keep no line that recurs in others. Repeated rows count once, and keep or lose the same
+    lines. Line breaks are \\n; the other lines stay as they are, in their order. An empty table gives an empty one.
     """
-    spark_docs = docs.filter(F.col(text_col).isNotNull())
-    lines = stored(keys(template_lines(spark_docs, id_col, text_col)).drop("mask"))
-    templates = stored(lines.groupBy("t1", "t2", "leaf").agg(F.count("*").alias("n"), F.min("id").alias("first")))
-    wide = general(spark_docs, id_col, text_col, templates, min_docs)
-    exact = templates.filter(F.col("n") >= min_docs).select("t1", "t2", "first")
+    rows, id_name, text_name, names = positional(docs, id_col, text_col)
+    own = rows.filter(F.col(text_name).isNotNull()).select(F.xxhash64(id_name, text_name).alias("doc"), F.col(id_name).alias("id"), F.col(text_name).alias("text"))
+    lines = stored(template_lines(own).select("doc", "id", "t1", "t2", "leaf", (n_tokens(F.col("mask")) >= LONG_TOKENS).alias("long")).distinct())
+    masks = stored(lines.groupBy("t1", "t2", "leaf", "long").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    wide = general(own, masks, min_docs)
+    exact = masks.filter((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= min(min_docs, LONG_DOCS)))).select("t1", "t2", "first")
     recurring = stored(exact.unionByName(wide).groupBy("t1", "t2").agg(F.min("first").alias("first")))
     dropped = stored(lines.select("doc", "id", "t1", "t2").join(recurring, ["t1", "t2"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("doc", "t1", "t2"))
     small = dropped.count() <= SMALL
     gone = dropped.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("t1", "t2")).alias("__gone"))  # of one text
-    out = docs.withColumn("__doc", F.xxhash64(id_col, text_col)).join(F.broadcast(gone) if small else gone, "__doc", "left")
+    out = rows.withColumn("__doc", F.xxhash64(id_name, text_name)).join(F.broadcast(gone) if small else gone, "__doc", "left")
 
     def stays(line: Column) -> Column:
         mask = masked(line)
         return ~F.array_contains("__gone", F.struct(F.xxhash64(mask).alias("t1"), F.hash(F.lit(7), mask).alias("t2")))
 
-    split = F.split(F.col(text_col), "\n", -1)
+    split = F.split(F.col(text_name), "\n", -1)
     left = F.when(F.col("__gone").isNull(), F.lit(None)).otherwise(F.filter(split, stays))
     out = out.withColumn("__left", left)
-    text = F.when(F.col("__left").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
+    text = F.when(F.col("__left").isNull(), F.col(text_name)).otherwise(F.array_join("__left", "\n"))
     n = F.when(F.col("__left").isNull(), 0).otherwise(F.size(split) - F.size("__left")).cast("long")
-    return out.select(*[(text.alias(c) if c == text_col else F.col(c)) for c in docs.columns], n.alias("n_dropped"))
+    count = free("n_dropped", docs.columns)
+    return out.select(*[(text if new == text_name else F.col(new)).alias(old) for new, old in names], n.alias(count))
 
 
 def op8_line_dedup(spark, sf_dir):
@@ -97,25 +111,26 @@ def op8_line_dedup(spark, sf_dir):
 
 def oracle(docs: str, columns: str) -> str:
     return f"""
-WITH lines AS (SELECT rid, doc_id, pos, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS plain FROM (
-    SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT row_number() OVER () AS rid, * FROM {docs}) WHERE text IS NOT NULL)),
+WITH docs AS (SELECT row_number() OVER () AS rid, * FROM {docs}),
+lines AS (SELECT rid, doc_id, text, pos, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS plain FROM (
+    SELECT rid, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text IS NOT NULL)),
 m AS (SELECT *, regexp_replace(plain, '(^|\\s)[^\\s0-9]*[0-9]\\S*', '\\1{WILD}', 'g') AS mask FROM lines),
-k AS (SELECT *, string_split(mask, ' ') AS tokens FROM m WHERE len(string_split(mask, ' ')) >= {LEAST_TOKENS}),
-t AS (SELECT mask, any_value(tokens) AS tokens, count(DISTINCT rid) AS n, min(doc_id) AS first FROM k GROUP BY mask),
+k AS (SELECT DISTINCT doc_id, text, mask, string_split(mask, ' ') AS tokens FROM m WHERE len(string_split(mask, ' ')) >= {LEAST_TOKENS}),
+t AS (SELECT mask, any_value(tokens) AS tokens, count(*) AS n, min(doc_id) AS first FROM k GROUP BY mask),
 lf AS (SELECT *, len(tokens) AS len_, tokens[1:{DEPTH}] AS lead FROM t),
 ls AS (SELECT len_, lead, sum(n) AS docs FROM lf GROUP BY ALL HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS}),
 w AS (SELECT lf.*, docs FROM lf JOIN ls USING (len_, lead)),
-u AS (SELECT len_, lead, docs, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM w),
-ct AS (SELECT len_, lead, place, token, sum(n) AS n, any_value(docs) AS docs FROM u GROUP BY len_, lead, place, token),
-top AS (SELECT len_, lead, place, token, n, docs FROM ct QUALIFY row_number() OVER (PARTITION BY len_, lead, place ORDER BY n DESC, token DESC) = 1),
-tree AS (SELECT len_, lead, list(CASE WHEN n >= {AGREE} * docs THEN token ELSE '{WILD}' END ORDER BY place) AS path FROM top GROUP BY len_, lead),
-tr AS (SELECT * FROM tree WHERE len(list_filter(path, lambda x: x <> '{WILD}')) >= {CONSTANT} * len(path) AND len(list_filter(path, lambda x: x <> '{WILD}')) < len(path)),
-fits AS (SELECT w.* FROM w JOIN tr USING (len_, lead) WHERE len(list_filter(list_zip(path, tokens), lambda x: x[1] <> '{WILD}' AND x[1] <> x[2])) = 0),
-wide AS (SELECT len_, lead, min(first) AS wide_first FROM fits GROUP BY len_, lead HAVING sum(n) >= {MIN_DOCS}),
-r AS (SELECT mask, min(first) AS first FROM (SELECT mask, first FROM t WHERE n >= {MIN_DOCS} UNION ALL SELECT mask, wide_first FROM fits JOIN wide USING (len_, lead)) GROUP BY mask),
+u AS (SELECT mask, len_, lead, docs, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM w),
+ct AS (SELECT len_, lead, place, token, sum(n) AS c FROM u GROUP BY ALL),
+lv AS (SELECT mask, len_, lead, place, token, c, unnest(generate_series(0, greatest(0, CAST(floor(ln(docs / {float(MIN_DOCS)}) / ln({float(STEP)}) + 1e-9) AS INTEGER)))) AS j FROM u JOIN ct USING (len_, lead, place, token)),
+pt AS (SELECT mask, len_, lead, j, list(CASE WHEN c >= {MIN_DOCS} * power({STEP}, j) THEN token ELSE '{WILD}' END ORDER BY place) AS path FROM lv GROUP BY ALL),
+pl AS (SELECT DISTINCT mask, len_, lead, path FROM pt WHERE len(list_filter(path, lambda x: x <> '{WILD}')) >= {CONSTANT} * len(path) AND list_contains(path, '{WILD}')),
+fam AS (SELECT len_, lead, path, min(doc_id) AS first FROM (SELECT DISTINCT len_, lead, path, doc_id, text FROM k JOIN pl USING (mask)) GROUP BY len_, lead, path HAVING count(*) >= {MIN_DOCS}),
+r AS (SELECT mask, min(first) AS first FROM (SELECT mask, first FROM t WHERE n >= {MIN_DOCS} OR (len(tokens) >= {LONG_TOKENS} AND n >= {LONG_DOCS})
+  UNION ALL SELECT mask, first FROM pl JOIN fam USING (len_, lead, path)) GROUP BY mask),
 d AS (SELECT m.*, r.mask IS NOT NULL AND m.doc_id IS DISTINCT FROM r.first AS gone FROM m LEFT JOIN r ON m.mask = r.mask),
 o AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept, count(*) FILTER (gone) AS n FROM d GROUP BY rid)
-SELECT {columns} FROM (SELECT row_number() OVER () AS rid, * FROM {docs}) x LEFT JOIN o USING (rid)
+SELECT {columns} FROM docs LEFT JOIN o USING (rid)
 """
 
 

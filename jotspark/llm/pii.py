@@ -76,11 +76,16 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def luhn(d: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
+def luhn_sum(d: Column) -> Column:
+    """The sum of digits that the Luhn check asks to be a multiple of ten."""
     n = F.split(F.reverse(d), "(?<=.)(?=.)")
     doubled = F.transform(n, lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise((x.cast("int") * 2) % 10 + F.floor(x.cast("int") / 5).cast("int")))
-    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
+    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
+
+
+def luhn(d: Column) -> Column:
+    """Whether a string of digits passes the Luhn check."""
+    return luhn_sum(d) % 10 == 0
 
 
 def octets(x: Column) -> Column:
@@ -146,13 +151,27 @@ def carriers(found: DataFrame) -> DataFrame:
     return found.select("held", "kind", "before", F.explode(forms).alias("x"))
 
 
+def others(found: DataFrame) -> DataFrame:
+    """Text that the wider patterns take and that is no personal data, one of each sort for each base span, away from its words: prices at
+    a time, dates, order numbers and versions, card numbers that fail Luhn, and addresses with parts over 255."""
+    n = F.abs(F.xxhash64("x", "before"))
+    part = lambda k, size: F.lpad((F.shiftright(n, k) % 10**size).cast("string"), size, "7")
+    year = F.concat(F.lit("20"), part(3, 2))
+    number = F.concat(F.lit("4"), part(0, 4), part(7, 6), part(11, 4))
+    emails = [F.concat(part(1, 2), F.lit(" @ "), part(5, 1), F.lit("."), part(9, 2)), F.concat(part(1, 1), F.lit(" (at) "), part(4, 2), F.lit("."), part(8, 2))]
+    phones = [F.concat_ws("-", year, F.lit("07"), part(9, 2)), F.concat_ws(".", part(2, 2), F.lit("11"), year), part(5, 9), F.concat_ws(".", part(2, 1), part(6, 2), part(9, 3), part(1, 2))]
+    cards = [F.concat(number, ((13 - luhn_sum(F.concat(number, F.lit("0"))) % 10) % 10).cast("string"))]
+    forms = F.when(F.col("kind") == "email", F.array(*emails)).when(F.col("kind") == "phone", F.array(*phones)).when(F.col("kind") == "card", F.array(*cards)).otherwise(F.array(F.concat(F.lit("300."), F.col("x"))))
+    return found.select("held", "kind", F.translate("before", "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza").alias("before"), F.explode(forms).alias("x"))
+
+
 def fit(c: DataFrame, found: DataFrame):
     """Boosted trees and a threshold for each kind. c: the candidates that overlap no base span, found: the base spans.
 
-    Examples of personal data are carriers(), those of other text the candidates of c that fail their kind's check (Luhn, parts up
-    to 255) or look like dates, and the rest of c at a tenth of their weight, as some of them are personal data without a
-    mark. At most TRAIN_ROWS of each label, outside the held-out fold, by a hash of the candidate. On the held-out fold, which is read
-    whole, a kind's threshold is the lowest score from which PRECISION of carriers and candidates are carriers, each
+    Examples of personal data are carriers(). Examples of other text are others(), and the candidates of c that fail their kind's
+    check (Luhn, parts up to 255) or look like dates; the rest of c, of which some are personal data, counts as such at a tenth
+    of their weight. At most TRAIN_ROWS of each label, outside the held-out fold, by a hash. On the held-out
+    fold, which is read whole, a kind's threshold is the lowest score from which PRECISION of the known examples are carriers, either
     side weighing the same; a kind without examples of both has none and adds nothing. None where one label is missing."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
@@ -163,6 +182,7 @@ def fit(c: DataFrame, found: DataFrame):
     checked = F.when(F.col("kind") == "card", F.col("f_luhn") == 0).when(F.col("kind") == "ip", F.col("f_octets") == 0).otherwise(F.col("f_date") == 1)
     good = featured(carriers(found).select(columns)).withColumns({"y": F.lit(1.0), "weight": F.lit(1.0)})
     bad = featured(c.select(columns)).withColumns({"y": F.lit(0.0), "weight": F.when(checked, 1.0).otherwise(0.1)})
+    bad = bad.unionByName(featured(others(found).select(columns)).withColumns({"y": F.lit(0.0), "weight": F.lit(1.0)}))
     picks = [df.filter("not held").orderBy(F.xxhash64("kind", "x", "before"), "kind", "x", "before").limit(TRAIN_ROWS).select("y", "weight", *FEATURES) for df in (good, bad)]
     sample = stored(picks[0].unionByName(picks[1]).repartition(4))
     if len(sample.groupBy("y").count().collect()) < 2:
@@ -172,7 +192,7 @@ def fit(c: DataFrame, found: DataFrame):
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(featured(df)).withColumn("p", vector_to_array("probability")[1])
 
-    held = good.unionByName(bad).filter("held").select("kind", "x", "before", "y")
+    held = good.unionByName(bad).filter("held and weight = 1").select("kind", "x", "before", "y")
     bins = scored(held).groupBy("kind", F.floor(F.col("p") * 50).alias("b")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("kind", F.col("b").desc()).collect()  # 4 x 51 rows
     thresholds = {}
     for kind in KINDS:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -166,6 +167,40 @@ def test_full_length_templates(spark):
     assert {(r.license, r.n_shared, r.n_template) for r in got if r.doc_id == 0} == {("long", 2998, 2998), ("mid", 256, 256), ("odd", 257, 257)}
 
 
+def brute_lines(rows, min_docs=3):
+    """A log-template tree by plain loops: rows of (id, text) with the recurring lines taken out."""
+    mask = lambda line: " ".join("<*>" if re.search("[0-9]", w) else w for w in line.split())
+    docs = {}
+    for i, t in set(rows):
+        for m in {mask(x) for x in t.split("\n")} if t is not None else ():
+            if len(m.split()) >= 5:
+                docs.setdefault(m, set()).add((i, t))
+    leaf = lambda m: (len(m.split()), *m.split()[:3])
+    leaves = {}
+    for m in docs:
+        leaves.setdefault(leaf(m), []).append(m)
+    first = {m: min(i for i, _ in d) for m, d in docs.items() if len(d) >= min_docs or len(m.split()) >= 50 and len(d) >= 2}
+    for own in leaves.values():
+        total, count = sum(len(docs[m]) for m in own), {}
+        for m in own:
+            for at in enumerate(m.split()):
+                count[at] = count.get(at, 0) + len(docs[m])
+        families, level = {}, min_docs
+        while level <= max(total, min_docs):
+            for m in own:
+                path = tuple(w if count[k, w] >= level else "<*>" for k, w in enumerate(m.split()))
+                if "<*>" in path and sum(w != "<*>" for w in path) >= 0.6 * len(path):
+                    families.setdefault(path, set()).add(m)
+            level *= 3
+        for group in families.values():
+            seen = set().union(*(docs[m] for m in group))
+            if len(own) > 1 and len(seen) >= min_docs:
+                for m in group:
+                    first[m] = min(first.get(m, math.inf), *(i for i, _ in seen))
+    keep = lambda i, line: first.get(mask(line), i) == i
+    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if keep(i, x))) for i, t in rows]
+
+
 def test_lines(spark):
     rows = [(i, f"header of the common page\nown line number {i} with words\nthe user named {'abcdefgh'[i]}x logged in from the office network today") for i in range(6)]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -173,6 +208,38 @@ def test_lines(spark):
     assert all(got[i] == "" for i in range(1, 6))
 
 
+def test_families_of_one_leaf(spark):
+    names = "anna bert cleo dora emil fred gina hugo ines jens kurt lena mona nils olga paul rosa sven tina udo".split()
+    rows = [(i, f"the user {n}x signed in to the main office network early today") for i, n in enumerate(names)]
+    rows += [(20 + i, f"the user {n}y bought some large green apples from our new shop") for i, n in enumerate(names)]
+    rows = [(i, t.replace("the user ", "the user named ").replace(" early", "")) if i < 20 else (i, t.replace("the user ", "the user named ").replace(" new", "")) for i, t in rows]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i not in (0, 20)) for i in range(40)}
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    fields = lambda k: rng.choice(["red", "blue", "green", "x7", *[f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"]][:k])
+    shapes = ["we saw the {} bird in our {} garden at noon", "we saw the {} fox near some {} river at dusk", "we saw the small dog run past {} and away", "one two {} four five", "a b c"]
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    rows = [(i, "\n".join([rng.choice(shapes).format(fields(30), fields(5)) for _ in range(rng.randint(0, 9))] + [passage] * (i in (3, 9)))) for i in range(70)]
+    rows += [rows[5], rows[6], (6, rows[7][1]), (100, None), (101, ""), (102, "\n\n  \n")]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, n_dropped string, __doc int, leaf string")
+    out = line_dedup.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "n_dropped", "__doc", "leaf", "n_dropped_1"]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(brute_lines(rows), key=str)
+    con = duckdb.connect()
+    con.execute("create table d (doc_id bigint, text varchar)")
+    con.executemany("insert into d values (?, ?)", rows)
+    assert sorted(con.execute(line_dedup.oracle("d", "doc_id, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text")).fetchall(), key=str) == sorted(brute_lines(rows), key=str)
+
+
+def test_very_many_lines(spark):
+    text = "\n".join(f"line of many number {i} here" for i in range(40_000))
+    out = line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text), (3, text), (4, "x")], "doc_id long, text string"))
+    assert {r.doc_id: r.n_dropped for r in out.collect()} == {1: 0, 2: 40_000, 3: 40_000, 4: 0}
+
+
 def test_leaf_without_tokens_equals_sql(spark):
     rows = [(1, None, "it", "src9"), (2, "", "it", "src9"), (3, "", None, None), (4, "a b c", "en", "src1"), (5, None, "en", "src1"), (6, "d e " * 20, "de", "src2"), (7, "f", "de", "src2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
