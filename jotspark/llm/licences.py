@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from jotspark.llm.common import stored, table
 
 #: Words of a shingle, permutations (bands of one row each), and the containment (per cent) from which a template is found.
-WORDS, BANDS, PERCENT = 3, 32, 80
-#: A window of two strides holds any run of a template of up to one stride of shingles; their Jaccard similarity is then at least a
-#: quarter, so one of 32 bands meets with odds of 1 - 0.75^32 > 0.9998 at the least, and above that for longer templates.
+WORDS, BANDS, PERCENT = 3, 64, 80
+#: A window of two strides m holds any run of a template of up to m shingles. The template has over m / 2, so with a whole run the
+#: Jaccard similarity is at least a quarter, and with PERCENT of it at least 0.4 m / 2.1 m = 0.19: one of 64 bands meets with odds
+#: of 1 - 0.81^64 > 0.999998 at the least.
 #: These are the strides of templates up to 256 shingles, as the SQL has them; longer ones go on by powers of two.
 STRIDES = (2, 4, 8, 16, 32, 64, 128, 256)
+#: Tables of up to so many numbers may be broadcast; beyond it the join is by shuffle.
+SMALL = 2_000_000
 
 # Public license notices.
 TEMPLATES = [
@@ -81,40 +84,48 @@ def permuted(window: Column, i: int) -> Column:
     return F.transform(window, lambda h: F.xxhash64(h, F.lit(i)))
 
 
-def templates(spark, rows: list[tuple[str, str]]) -> DataFrame:
-    """id, distinct shingles and stride of each template, as given by the caller: a list held in the program."""
-    given = F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in rows])).alias("x")
-    t = shingled(spark.range(1).select(given).select("x.license", "x.body"), "body", F.col("license")).withColumn("t_sh", F.array_distinct("sh")).filter(F.size("t_sh") > 0)
+def templates(spark, rows: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """license, distinct shingles (t_sh) and stride of each template; rows: a list held in the program, or a table of license and body."""
+    if not isinstance(rows, DataFrame):
+        given = F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in rows])).alias("x")
+        rows = spark.range(1).select(given).select("x.license", "x.body")
+    t = shingled(rows, "body", F.col("license")).withColumn("t_sh", F.array_distinct("sh")).filter(F.size("t_sh") > 0)
     stride = F.greatest(F.lit(2), F.expr("shiftleft(1, length(bin(size(sh) - 1)))"))  # the least power of two that the length does not exceed
     return stored(t.select("license", "t_sh", stride.alias("stride")).coalesce(1))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: list[tuple[str, str]] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """Returns id, license, n_windows, n_shared and n_template for each template of which some window of a text holds 80 per cent
     of the distinct 3-word shingles; n_shared is that of the best window, n_windows how many qualify.
 
-    Windows of 2m shingles start every m shingles, m being the least power of two that a template's length does not exceed. Only texts and
-    windows that hold a shingle of some template are hashed further, which loses nothing: a window without one shares no band. Templates
+    Windows of 2m shingles start every m shingles, m being the least power of two that a template's length does not exceed. Only
+    windows that hold a shingle of some template are banded, which loses nothing: a window without one shares no band. Templates
     of fewer than three words hold no shingle and are never found, of any greater length they are; null, empty and short texts find nothing; rows of one id are
-    taken together; an empty table gives none. Templates come as a list in the program, and their bands are broadcast.
+    taken together; an empty table, or an empty list of templates, gives none. What is looked up is joined by hash: the templates' shingles and bands
+    are broadcast if they are few, else shuffled.
     """
     t = templates(docs.sparkSession, TEMPLATES if rows is None else rows)
-    known = [r[0] for r in t.select(F.explode("t_sh")).distinct().collect()]  # of the given templates
-    strides = sorted({r[0] for r in t.select("stride").distinct().collect()})
-    if not known:
+    known = stored(t.select(F.explode("t_sh").alias("h")).distinct())
+    strides = sorted(r[0] for r in t.select("stride").distinct().collect())  # powers of two
+    if not strides:
         return docs.limit(0).select(F.col(id_col), F.lit("").alias("license"), *[F.lit(0).cast("long").alias(c) for c in ("n_windows", "n_shared", "n_template")])
-    some = F.array(*[F.lit(x) for x in known])
-    texts = shingled(docs, text_col, F.col(id_col).alias("id")).filter(F.arrays_overlap("sh", some))
-    texts = stored(texts)
-    at = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains(some, F.element_at("sh", i + 1)))
+    few = F.broadcast if known.count() <= SMALL else (lambda df: df)
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shingles = shingled(texts, "text", F.col("rid")).select("rid", F.posexplode("sh").alias("at", "h"))
+    hits = stored(shingles.join(few(known), "h", "left_semi").select("rid", "at"))
+    ats = hits.groupBy("rid").agg(F.sort_array(F.collect_set("at")).alias("at"))  # of one text
+    met = texts.join(F.broadcast(ats) if hits.count() <= SMALL else ats, "rid")
     wins = F.flatten(F.array(*[F.array_distinct(F.flatten(F.transform("at", both(m)))) for m in strides]))
-    win = texts.withColumn("at", at).select("id", "sh", F.explode(wins).alias("w")).filter("w.n >= 0")
-    win = win.select("id", F.col("w.stride").alias("stride"), F.col("w.n").alias("n"), F.expr("slice(sh, w.n * w.stride + 1, 2 * w.stride)").alias("sh"))
-    found = win.select("*", F.explode(bands(F.col("sh"))).alias("b")).select("id", "stride", "n", "sh", "b.band", "b.low")
-    index = t.select("license", "stride", "t_sh", F.explode(bands(F.col("t_sh"))).alias("b")).select("license", "stride", "t_sh", "b.band", "b.low")
-    met = found.join(F.broadcast(index), ["stride", "band", "low"]).withColumn("shared", F.size(F.array_intersect("sh", "t_sh")))
-    met = met.filter(F.col("shared") * 100 >= PERCENT * F.size("t_sh"))
-    one = met.groupBy("id", "license", "n").agg(F.max("shared").alias("shared"), F.max(F.size("t_sh")).alias("n_template"))
+    win = shingled(met, "text", F.col("id"), F.col("at")).select("id", "sh", F.explode(wins).alias("w")).filter("w.n >= 0")
+    win = win.select(F.monotonically_increasing_id().alias("wid"), "id", F.col("w.stride").alias("stride"), F.col("w.n").alias("n"), F.expr("slice(sh, w.n * w.stride + 1, 2 * w.stride)").alias("sh"))
+    win = stored(win)
+    found = win.select("wid", "stride", F.explode(bands(F.col("sh"))).alias("b")).select("wid", "stride", "b.band", "b.low")
+    index = t.select("license", "stride", F.explode(bands(F.col("t_sh"))).alias("b")).select("license", "stride", "b.band", "b.low")
+    index = F.broadcast(index) if t.count() * BANDS <= SMALL else index
+    met = stored(found.join(index, ["stride", "band", "low"]).select("wid", "license").distinct())
+    pairs = win.join(F.broadcast(met) if met.count() <= SMALL else met, "wid").join(few(t.select("license", "t_sh")), "license")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("sh", "t_sh"))).filter(F.col("shared") * 100 >= PERCENT * F.size("t_sh"))
+    one = pairs.groupBy("id", "license", "n").agg(F.max("shared").alias("shared"), F.max(F.size("t_sh")).alias("n_template"))
     out = one.groupBy("id", "license").agg(F.count("*").alias("n_windows"), F.max("shared").cast("long").alias("n_shared"), F.max("n_template").cast("long").alias("n_template"))
     return out.select(F.col("id").alias(id_col), "license", "n_windows", "n_shared", "n_template")
 
