@@ -15,6 +15,8 @@ from jotspark.llm.common import table
 LONG = 64
 #: Nodes (and kept counts) of one worker's trie; it is emptied beyond that, which changes no result.
 MOST_NODES = 1_200_000
+#: Words counted between two looks at the trie's size.
+RUN = 50_000
 
 
 def unigram_scores(vocab: dict[str, int]) -> dict[str, float]:
@@ -83,15 +85,20 @@ class Trie:
         return few
 
     def count(self, words: list[str]) -> int:
-        counts = self.counts
-        long = 0
-        for w in set(words).difference(counts):
-            n = self.insert(w)
-            if w not in counts:
-                long += n * words.count(w)
-        total = sum(map(counts.get, words, [0] * len(words))) + long
-        if len(self.best) > MOST_NODES:
-            self.clear()
+        """The tokens of all words, taken in runs so that one text cannot grow the trie without bound."""
+        counts, total = self.counts, 0
+        for at in range(0, len(words), RUN):
+            run = words[at : at + RUN]
+            long: dict[str, int] = {}
+            for w in set(run).difference(counts):
+                n = self.insert(w)
+                if w not in counts:
+                    long[w] = n
+            if long:
+                total += sum(long.get(w, 0) for w in run)
+            total += sum(map(counts.get, run, [0] * len(run)))
+            if len(self.best) > MOST_NODES:
+                self.clear()
         return total
 
 
