@@ -108,7 +108,8 @@ def long_word(vocab: dict[str, int], probs: np.ndarray, word: str) -> np.ndarray
 
 def train(docs: DataFrame, text_col: str, lang_col: str, vocab: dict[str, int], docs_per_lang: int, rounds: int) -> tuple[list[str], np.ndarray]:
     """Piece probabilities of each language by expectation-maximisation over the pre-tokens of about docs_per_lang
-    documents of each language (all, if fewer), chosen by a hash of the text. Languages: at most some hundreds."""
+    documents of each language (all, if fewer), chosen by a hash of the text; longer pre-tokens are read in runs of LONG - 1
+    characters. Languages: at most some hundreds."""
     spark = docs.sparkSession
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*")).collect()}
@@ -118,7 +119,8 @@ def train(docs: DataFrame, text_col: str, lang_col: str, vocab: dict[str, int],
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, docs_per_lang / n[lang]))])
     picked = known.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < F.element_at(share, F.col(lang_col)) * (1 << 20))
     words = picked.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.col(text_col), r"\s+")).alias("w")).filter("w != ''")
-    words = words.filter(F.length("w") < LONG).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    runs = F.when(F.length("w") < LONG, F.array("w")).otherwise(F.regexp_extract_all("w", F.lit(f"(?s).{{1,{LONG - 1}}}"), F.lit(0)))
+    words = words.select("lang", F.explode(runs).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     words = stored(words)
     index = {x: i for i, x in enumerate(langs)}
     probs = np.full((len(vocab) + 1, len(langs)), 1.0 / len(vocab))
