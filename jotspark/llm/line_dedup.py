@@ -77,17 +77,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaf, tokens that are rare at their place become wildcards too (see general), if three in five positions are constant.
     A template of five or more tokens that min_docs rows hold, or a mask of 50 or more that two rows hold, is dropped from all rows but
     those of its smallest id (of the smallest of all templates that a line fits). Rows are never dropped; null texts stay null and
-    empty ones empty; rows without an id keep no line that recurs in others. Repeated rows count once, and keep or lose the same
-    lines. Line breaks are \\n; the other lines stay as they are, in their order. An empty table gives an empty one.
+    empty ones empty; rows without an id keep no line that recurs in others. Repeated rows keep or lose the same lines; each counts for
+    a mask, but rows of one id and text count once for a template of several masks. Line breaks are \\n; the other lines stay as they are, in their order. An empty table gives an empty one.
     """
     rows, id_name, text_name, names = positional(docs, id_col, text_col)
     own = rows.filter(F.col(text_name).isNotNull()).select(F.xxhash64(id_name, text_name).alias("doc"), F.col(id_name).alias("id"), F.col(text_name).alias("text"))
-    lines = stored(template_lines(own).select("doc", "id", "t1", "t2", "leaf", (n_tokens(F.col("mask")) >= LONG_TOKENS).alias("long")).distinct())
+    lines = stored(template_lines(own).select("doc", "id", "t1", "t2", "leaf", (n_tokens(F.col("mask")) >= LONG_TOKENS).alias("long")))
     masks = stored(lines.groupBy("t1", "t2", "leaf", "long").agg(F.count("*").alias("n"), F.min("id").alias("first")))
     wide = general(own, masks, min_docs)
     exact = masks.filter((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= min(min_docs, LONG_DOCS)))).select("t1", "t2", "first")
     recurring = stored(exact.unionByName(wide).groupBy("t1", "t2").agg(F.min("first").alias("first")))
-    dropped = stored(lines.select("doc", "id", "t1", "t2").join(recurring, ["t1", "t2"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("doc", "t1", "t2"))
+    dropped = stored(joined(lines.select("doc", "id", "t1", "t2"), recurring, ["t1", "t2"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("doc", "t1", "t2"))
     small = dropped.count() <= SMALL
     gone = dropped.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("t1", "t2")).alias("__gone"))  # of one text
     out = rows.withColumn("__doc", F.xxhash64(id_name, text_name)).join(F.broadcast(gone) if small else gone, "__doc", "left")
@@ -115,7 +115,7 @@ WITH docs AS (SELECT row_number() OVER () AS rid, * FROM {docs}),
 lines AS (SELECT rid, doc_id, text, pos, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS plain FROM (
     SELECT rid, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text IS NOT NULL)),
 m AS (SELECT *, regexp_replace(plain, '(^|\\s)[^\\s0-9]*[0-9]\\S*', '\\1{WILD}', 'g') AS mask FROM lines),
-k AS (SELECT DISTINCT doc_id, text, mask, string_split(mask, ' ') AS tokens FROM m WHERE len(string_split(mask, ' ')) >= {LEAST_TOKENS}),
+k AS (SELECT DISTINCT rid, doc_id, text, mask, string_split(mask, ' ') AS tokens FROM m WHERE len(string_split(mask, ' ')) >= {LEAST_TOKENS}),
 t AS (SELECT mask, any_value(tokens) AS tokens, count(*) AS n, min(doc_id) AS first FROM k GROUP BY mask),
 lf AS (SELECT *, len(tokens) AS len_, tokens[1:{DEPTH}] AS lead FROM t),
 ls AS (SELECT len_, lead, sum(n) AS docs FROM lf GROUP BY ALL HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS}),

@@ -170,21 +170,22 @@ def test_full_length_templates(spark):
 def brute_lines(rows, min_docs=3):
     """A log-template tree by plain loops: rows of (id, text) with the recurring lines taken out."""
     mask = lambda line: " ".join("<*>" if re.search("[0-9]", w) else w for w in line.split())
-    docs = {}
-    for i, t in set(rows):
+    docs, n = {}, {}
+    for i, t in rows:
         for m in {mask(x) for x in t.split("\n")} if t is not None else ():
             if len(m.split()) >= 5:
                 docs.setdefault(m, set()).add((i, t))
+                n[m] = n.get(m, 0) + 1
     leaf = lambda m: (len(m.split()), *m.split()[:3])
     leaves = {}
     for m in docs:
         leaves.setdefault(leaf(m), []).append(m)
-    first = {m: min(i for i, _ in d) for m, d in docs.items() if len(d) >= min_docs or len(m.split()) >= 50 and len(d) >= 2}
+    first = {m: min(i for i, _ in d) for m, d in docs.items() if n[m] >= min_docs or len(m.split()) >= 50 and n[m] >= 2}
     for own in leaves.values():
-        total, count = sum(len(docs[m]) for m in own), {}
+        total, count = sum(n[m] for m in own), {}
         for m in own:
             for at in enumerate(m.split()):
-                count[at] = count.get(at, 0) + len(docs[m])
+                count[at] = count.get(at, 0) + n[m]
         families, level = {}, min_docs
         while level <= max(total, min_docs):
             for m in own:
