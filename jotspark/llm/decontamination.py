@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jotspark.llm.common import table
+from jotspark.llm.common import free, table
 
 #: Length of the q-grams and of a passage's windows, which start at every character, in normalised characters.
 Q, WINDOW = 10, 100
@@ -303,7 +303,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     found = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64()), ("shared", pa.int64())]))
     kind = "array<struct<item_id: long, start: long, end: long, edits: long, shared: long>>"
-    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col), *keep)
+    named: list[str] = [id_col]
+    for c in keep:
+        named.append(free(c, [*named, "leaks"]))
+    rows = docs.select(F.col(text_col), F.col(id_col), *keep).toDF("__text", *named)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
     rows = rows.withColumn("leaks", F.array().cast(kind))
     for block in range(blocks):
