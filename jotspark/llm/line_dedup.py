@@ -51,13 +51,15 @@ def general(docs: DataFrame, masks: DataFrame, min_docs: int) -> DataFrame:
     for each level of frequency; those with enough constant places that enough documents share are families.
     """
     leaves = masks.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
+    leaves = stored(leaves)
     wanted = stored(joined(masks, leaves, ["leaf"]).select("t1", "t2", "n", "docs"))  # few: most leaves hold one mask
     lines = stored(joined(template_lines(docs), wanted, ["t1", "t2"]))
     words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("docs").alias("docs")))
-    places = words.select("t1", "t2", "leaf", "docs", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
-    seen = stored(places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("c")))
-    placed = joined(places, seen, ["leaf", "at", "token"])
-    full = placed.groupBy("t1", "t2", "leaf", "docs").agg(F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("line"))  # of one line
+    places = words.select("t1", "t2", "leaf", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
+    seen = stored(places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_docs))
+    placed = joined(places, seen, ["leaf", "at", "token"], "left").select("t1", "t2", F.struct("at", "c").alias("x"))
+    full = placed.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("x")).alias("counts")).join(words, ["t1", "t2"])  # of one line
+    full = full.withColumn("line", F.zip_with(F.split("mask", " "), "counts", lambda t, x: F.struct(t.alias("token"), x["c"].alias("c"))))
     top = F.floor(F.log(F.col("docs") / float(min_docs)) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
     levels = F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))), lambda j: F.pow(F.lit(float(STEP)), j) * min_docs)
     paths = F.transform(levels, lambda least: F.transform("line", lambda x: F.when(x["c"] >= least, x["token"]).otherwise(WILD)))
