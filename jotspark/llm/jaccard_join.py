@@ -19,6 +19,10 @@ from jotspark.llm.components import components
 MEMBERS, QUERIES, MEMBER_SHINGLES, QUERY_SHINGLES = 256, 2048, 300_000, 1_000_000
 #: Documents looked at to order the tokens; the order decides the work, never the result.
 SAMPLE = 8192
+#: Tokens of the sample whose order is kept, the most frequent ones.
+ORDERED = 1_000_000
+#: A token that more nodes hold is looked up under several keys, so that no task gets all of them.
+HELD = 4096
 #: A list of so many keys may be broadcast (about 16 bytes each); beyond it the join is by shuffle.
 SMALL = 2_000_000
 
@@ -85,12 +89,12 @@ def per_text(docs: DataFrame, words: int, schema: str, fn) -> DataFrame:
 
 
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Tokens seen in three or more of about SAMPLE documents, rarest first; at most a third of the sample's tokens."""
+    """Tokens seen in three or more of about SAMPLE documents, rarest first; at most the ORDERED most frequent."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     tokens = per_text(some, words, "tokens array<long>", lambda s, i, b: (s,))
-    seen = tokens.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n >= 3").orderBy("n", "t").select("t").toPandas()
-    return seen["t"].to_numpy(np.int64)
+    seen = tokens.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.col("n").desc(), F.col("t").desc()).limit(ORDERED).select("t").toPandas()
+    return seen["t"].to_numpy(np.int64)[::-1].copy()
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -152,7 +156,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal shingle sets form a class, which is compared once; rows that share an id count as one document. Exact: any pair that
     links shares a token among the first n - ceil(percent * n / 100) + 1 tokens of each, in one order for all (rare ones first).
     Tokens that several classes share select groups; a task meets a bounded part of a group's members with a bounded part of
-    the queries that the matrix sends there, so a large group is many tasks.
+    the queries that the matrix sends there, so a large group is many tasks. Rows without an id are in no component (null); an empty table gives none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -198,13 +202,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = stored(named.join(parts, "g").select("node", "n", "cls", "copies", "g", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
 
     # the matrix of tokens and groups; a query opens the groups of its tokens that come after its own
-    owned = held.select("t", "cls").join(member, "cls")
-    matrix = stored(owned.groupBy("t", "g", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")))
-    asks = stored(owned.select("t", "cls", "n", F.col("g").alias("own_g"), F.col("part").alias("own_part")))
+    owned = held.select("t", "cls", F.ceil(F.col("df") / HELD).alias("keys")).join(member, "cls")
+    matrix = stored(owned.groupBy("t", "g", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("keys").alias("keys")))
+    matrix = matrix.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys") - 1))).drop("keys")  # one key but for tokens of many nodes
+    asks = stored(owned.select("t", F.pmod(F.xxhash64("cls"), "keys").alias("key"), "cls", "n", F.col("g").alias("own_g"), F.col("part").alias("own_part")))
     after = (F.col("g") > F.col("own_g")) | ((F.col("g") == F.col("own_g")) & (F.col("part") >= F.col("own_part")))
     alone = (F.col("g") == F.col("own_g")) & (F.col("part") == F.col("own_part")) & (F.col("c") == 1)
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    hit = asks.join(matrix, "t").filter(after & ~alone).groupBy("cls", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
+    hit = asks.join(matrix, ["t", "key"]).filter(after & ~alone).groupBy("cls", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
     opened = stored(hit.filter(fits & (F.col("hits") >= least_hits(percent))).drop("least", "most"))
     load = opened.groupBy("g", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     load = stored(load.select("g", "part", F.greatest(F.ceil(F.col("c") / QUERIES), F.ceil(F.col("s") / QUERY_SHINGLES)).alias("turns")))
@@ -234,7 +239,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = stored(members.groupBy("g", "part", "turn").cogroup(queries.groupBy("q_g", "q_part", "q_turn")).applyInPandas(meet, "a long, b long, count boolean"))
     joined = components(met.filter("not count").select("a", "b"))
 
-    out = base.select("id", "n", "cls").join(copied, ["cls", "n"], "left").withColumn("node", F.coalesce("rep", "id"))
+    out = base.select("id", "n", "cls").join(copied, ["cls", "n"], "left").withColumn("node", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     out = out.join(joined, "node", "left")
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")]
     if not links:
