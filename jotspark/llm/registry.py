@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from jotspark.llm import decontamination, jaccard_join, language_id, licences, line_dedup, mixing, pii, token_counts, top_k, toxicity
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_language_id": language_id.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
