@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from jotspark.llm import decontamination, licences, line_dedup, mixing, pii
+from jotspark.llm import common, decontamination, licences, line_dedup, mixing, pii
 from jotspark.llm.decontamination import Benchmark, banded, normal
 from jotspark.llm.registry import ORACLE, QUERIES
 
@@ -274,3 +274,29 @@ def test_pipeline(spark):
     want = con.execute(mixing.oracle("d")).fetchall()
     got = corpus_pipeline.mix_sources(spark, docs, SF).select("doc_id", "domain", "lang", "source", "n_tokens", "copies").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_stages_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for c in ("score", "predicted", "leaks", "n_dropped", "__doc", "node", "id", "y", "h", "offending", "Text2"):
+        docs = docs.withColumn(c, docs.doc_id if c == "node" else docs.source)
+    before = {tuple(r) for r in docs.drop("text", "n_chars").collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.drop("text", "n_chars").collect()} <= before
+    assert corpus_pipeline.mix_sources(spark, docs.withColumn("domain", docs.lang), SF).columns[-3:] == ["domain", "n_tokens", "copies"]
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app-1"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert common.shared_dir(Session) == common.shared_dir(Session) != common.shared_dir(spark)
