@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jotspark.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
-from jotspark.llm.common import shared_dir, table
+from jotspark.llm.common import positional, shared_dir, table
+
+
+def judged(docs: DataFrame, operator: Callable[..., DataFrame], stays: str) -> DataFrame:
+    """The rows of docs for which the operator's columns meet a condition. The operator sees columns named by place, which none of
+    its own can clash with."""
+    rows, id_name, text_name, names = positional(docs, "doc_id", "text")
+    rest = tuple(new for new, _ in names if new != id_name)
+    out = operator(rows, id_col=id_name, text_col=text_name, keep=rest).filter(stays)
+    return out.select(*[F.col(new).alias(old) for new, old in names])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half stay."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=rest)
-    return scored.filter("predicted = 0").select(docs.columns)
+    labels = table(spark, sf_dir, "labels")
+
+    def scored(rows: DataFrame, id_col: str, **more) -> DataFrame:
+        return toxicity.toxicity(rows, labels.withColumnRenamed("doc_id", id_col), id_col=id_col, **more)
+
+    return judged(docs, scored, "predicted = 0")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +44,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"), keep=rest).filter(F.size("leaks") == 0).select(docs.columns)
+    return judged(docs, lambda rows, **more: decontamination.leaks(rows, table(spark, sf_dir, "benchmark"), **more), "size(leaks) = 0")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
