@@ -74,11 +74,24 @@ def rotate(a: Column, n: int) -> Column:
 
 
 def frequencies(a: Column) -> Column:
-    return F.map_from_arrays(F.array_distinct(a), F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x == v))))
+    """Map of each element as text to how often it occurs; nulls count as 'null'. Equal elements are counted as runs of the sorted array."""
+    text = F.array_sort(F.transform(a, lambda x: F.coalesce(x.cast("string"), F.lit("null"))))
+    n = F.size(text)
 
+    def counted(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n + 1))
+        return F.map_from_arrays(F.transform(starts, lambda i: F.element_at(t, i)), F.zip_with(starts, ends, lambda i, j: (j - i).cast("long")))
 
-def cumulative_sum(a: Column) -> Column:
-    return F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x.cast("double")))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return F.when(n == 0, empty).otherwise(F.element_at(F.transform(F.array(text), counted), 1))
+
+
+def cumulative_sum(a: Column, kind: str = "double") -> Column:
+    """Running totals in the type `kind`: 'long' keeps whole numbers exact."""
+    start = F.struct(F.lit(0).cast(kind).alias("sum"), F.array().cast(f"array<{kind}>").alias("out"))
+    step = lambda s, x: F.struct((s["sum"] + x.cast(kind)).alias("sum"), F.concat(s["out"], F.array(s["sum"] + x.cast(kind))).alias("out"))
+    return F.aggregate(a, start, step, lambda s: s["out"])
 
 
 def xor(a: Column, b: Column) -> Column:

@@ -89,7 +89,8 @@ def path_dirname(s: Column) -> Column:
 
 
 def path_ext(s: Column) -> Column:
-    return F.regexp_extract(path_basename(s), r"[^.]\.([^.]+)$", 1)
+    """With its dot; empty for none."""
+    return F.regexp_extract(path_basename(s), r"[^.](\.[^.]+)$", 1)
 
 
 def path_stem(s: Column) -> Column:

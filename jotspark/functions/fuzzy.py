@@ -117,11 +117,13 @@ def indices(s: Column, sub: str) -> Column:
 
 
 def escape_regex(s: Column) -> Column:
-    return F.regexp_replace(s, r"([\\.+*?()|\[\]{}^$#&~-])", r"\\$1")
+    return F.regexp_replace(s, r"([\\.+*?()|\[\]{}^$])", r"\\$1")
 
 
 def abbreviate(s: Column, length: int, suffix: str = "...") -> Column:
-    return F.when(F.length(s) > length, F.concat(F.left(s, F.lit(max(0, length - len(suffix)))), F.lit(suffix))).otherwise(s)
+    """Up to `length` characters, the suffix among them; where it does not fit, the text is plainly cut."""
+    cut = F.left(s, F.lit(length)) if length <= len(suffix) else F.concat(F.left(s, F.lit(length - len(suffix))), F.lit(suffix))
+    return F.when(F.length(s) > length, cut).otherwise(s)
 
 
 def is_base64(s: Column) -> Column:
@@ -163,9 +165,9 @@ def detect_script(s: Column) -> Column:
 
 
 def time_ago(t: Column, now: Column) -> Column:
-    """The greatest whole unit of now - t, as in '3 days ago', 'in 2 hours' or 'just now'."""
+    """The greatest whole unit of now - t, as in '3 days ago', 'in 2 hours' or '0 seconds ago'."""
     gap = now.cast("long") - t.cast("long")
-    n, out = F.abs(gap), F.lit("just now")
+    n, out = F.abs(gap), F.lit("0 seconds ago")
     for unit, size in (("second", 1), ("minute", 60), ("hour", 3600), ("day", 86400), ("month", 2592000), ("year", 31536000)):
         k = F.floor(n / size).cast("long")
         text = F.concat(k.cast("string"), F.lit(f" {unit}"), F.when(k == 1, "").otherwise("s"))

@@ -75,14 +75,15 @@ def max_by(a: Column, key: Test) -> Column:
 
 def unique_by(a: Column, key: Test) -> Column:
     """The first element of each key."""
-    keys = F.transform(a, key)
-    return F.filter(a, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    keys = F.transform(a, lambda x: F.coalesce(F.concat(F.lit("="), key(x).cast("string")), F.lit("null")))
+    return F.filter(a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
 def group_by(a: Column, key: Test) -> Column:
-    """Map of the key as text to its elements; null keys are left out."""
-    names = F.array_distinct(F.filter(F.transform(a, lambda x: key(x).cast("string")), lambda k: k.isNotNull()))
-    return F.map_from_arrays(names, F.transform(names, lambda k: F.filter(a, lambda x: key(x).cast("string") == k)))
+    """Map of the key as text to its elements; null keys stand under 'null'."""
+    named = lambda x: F.coalesce(key(x).cast("string"), F.lit("null"))
+    names = F.array_distinct(F.transform(a, named))
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.filter(a, lambda x: named(x) == k)))
 
 
 def count_by(a: Column, key: Test) -> Column:
@@ -128,9 +129,10 @@ def interpose(a: Column, value) -> Column:
 
 
 def interleave(a: Column, b: Column) -> Column:
-    """Elements in turn, up to the shorter one's end."""
+    """Elements in turn; the rest of the longer one follows."""
     n = F.least(F.size(a), F.size(b))
-    return F.flatten(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.array(x, y)))
+    turns = F.flatten(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.array(x, y)))
+    return F.concat(turns, F.slice(a, n + 1, F.size(a)), F.slice(b, n + 1, F.size(b)))
 
 
 def cycle(a: Column, times: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def words(s: Column) -> Column:
     """Parts at changes of case and at anything that is not a letter or digit."""
-    spaced = F.regexp_replace(F.regexp_replace(s, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z])([A-Z][a-z])", "$1 $2")
+    spaced = F.regexp_replace(F.regexp_replace(s, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
     return F.filter(F.split(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
@@ -122,7 +122,7 @@ def semver_parse(s: Column) -> Column:
 
 def jaccard_words(a: Column, b: Column) -> Column:
     x, y = words(F.lower(a)), words(F.lower(b))
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return F.when(F.size(F.array_union(x, y)) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)))
 
 
 def normalized_levenshtein(a: Column, b: Column) -> Column:

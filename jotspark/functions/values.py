@@ -86,11 +86,11 @@ def celsius_to_fahrenheit(x: Column) -> Column:
 
 
 def luhn_check(s: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(s, r"[\s-]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(s, r"[\s-]", ""))
 
 
 def is_email(s: Column) -> Column:
-    return s.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$")
+    return s.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$")
 
 
 def is_uuid(s: Column) -> Column:

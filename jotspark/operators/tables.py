@@ -61,3 +61,74 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     width = ((high - low) / bins if low is not None else 0) or 1.0
     at = F.least(F.floor((F.col(value) - F.lit(low)) / width), F.lit(bins - 1)).cast("long")
     return df.filter(F.col(value).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def runs(df: DataFrame, by: list[str], order: str, key: str) -> DataFrame:
+    """Neighbouring rows of equal key in each group: by, run (from 1), key, n, and first and last of `order`."""
+    w = Window.partitionBy(*by).orderBy(order)
+    new = (F.row_number().over(w) == 1) | ~F.col(key).eqNullSafe(F.lag(key).over(w))
+    numbered = df.withColumn("__new", new.cast("long")).withColumn("run", F.sum("__new").over(w))
+    return numbered.groupBy(*by, "run").agg(F.first(key).alias(key), F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
+def running(df: DataFrame, by: list[str], order: list[str], **aggregates: Column) -> DataFrame:
+    """Each row with aggregates over the rows of its group up to it."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({name: c.over(w) for name, c in aggregates.items()})
+
+
+def pivot(df: DataFrame, by: list[str], key: str, value: Column, keys: list | None = None) -> DataFrame:
+    """A column for each key; without a list of keys they are looked up first, at most spark.sql.pivotMaxValues."""
+    grouped = df.groupBy(*by)
+    return (grouped.pivot(key, keys) if keys else grouped.pivot(key)).agg(value)
+
+
+def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "key", value: str = "value") -> DataFrame:
+    return df.unpivot(ids, columns, name, value)
+
+
+def xor(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that only one of two tables has."""
+    return a.subtract(b).union(b.subtract(a))
+
+
+def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """n rows, the same for one seed: those of the least hash of seed and key (all columns, if none is named). Each task keeps n."""
+    columns = key or df.columns
+    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)
+
+
+def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
+    """All rows in an order that a seed decides."""
+    columns = key or df.columns
+    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
+
+
+def paginate(df: DataFrame, page: int, per_page: int, *order: Column | str) -> DataFrame:
+    """One page of rows, from 1."""
+    return df.orderBy(*order).offset((max(1, page) - 1) * max(1, per_page)).limit(max(1, per_page))
+
+
+def ranks_by_range(df: DataFrame, by: list[str], value: str, *then: Column, descending: bool = False, buckets: int = 64, small: int = 100_000) -> DataFrame:
+    """rank, dense_rank and row_number as ranks() gives them for the order value, then `then`; but a group is cut into ranges of the
+    value, ranked apart, and each range adds what lies before it. So no task sorts a whole group, unless one value fills it.
+
+    The ranges follow approximate quantiles, which decide the work and not the result. Null values come last.
+    """
+    edges = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("__edges"))
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    few = F.broadcast(edges) if edges.count() <= small else edges
+    place = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))
+    place = F.when(F.col(value).isNull(), buckets + 1).otherwise(-place if descending else place)
+    joined = df.alias("d").join(few.alias("e"), on, "left").select("d.*", place.alias("__range"))
+    first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    inside = Window.partitionBy(*by, "__range").orderBy(first)
+    rows = Window.partitionBy(*by, "__range").orderBy(first, *then)
+    counts = joined.groupBy(*by, "__range").agg(F.count("*").alias("__n"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("long"))).alias("__kinds"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = counts.withColumns({"__n": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__kinds": F.coalesce(F.sum("__kinds").over(before), F.lit(0))})
+    counts = F.broadcast(counts) if counts.count() <= small * buckets else counts
+    cond = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "__range"]]
+    out = joined.alias("d").join(counts.alias("c"), cond).select("d.*", "__n", "__kinds")
+    out = out.withColumns({"rank": (F.rank().over(inside) + F.col("__n")).cast("long"), "dense_rank": (F.dense_rank().over(inside) + F.col("__kinds")).cast("long"), "row_number": (F.row_number().over(rows) + F.col("__n")).cast("long")})
+    return out.drop("__range", "__n", "__kinds")

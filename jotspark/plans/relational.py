@@ -93,7 +93,8 @@ def intersection_keys(spark, sf_dir):
 )
 def event_ranks(spark, sf_dir):
     v = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    r = tables.ranks(table(spark, sf_dir, "events"), ["event_type"], F.desc_nulls_last("value"))
+    e = table(spark, sf_dir, "events")
+    r = tables.ranks_by_range(e, ["event_type"], "value", F.col("event_id"), descending=True)
     return r.select("event_id", "rank", "dense_rank", F.lag("value").over(v).alias("before"), F.lead("value").over(v).alias("after"))
 
 

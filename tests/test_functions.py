@@ -30,7 +30,7 @@ def test_versions_sort(spark):
 
 def test_paths(spark):
     p = F.lit("/a/b.c/d.tar.gz/")
-    assert one(spark, X.path_basename(p), X.path_dirname(p), X.path_ext(p), X.path_stem(p)) == ["d.tar.gz", "/a/b.c", "gz", "d.tar"]
+    assert one(spark, X.path_basename(p), X.path_dirname(p), X.path_ext(p), X.path_stem(p)) == ["d.tar.gz", "/a/b.c", ".gz", "d.tar"]
     assert one(spark, X.path_ext(F.lit("/.profile")), X.path_stem(F.lit("/"))) == ["", None]
 
 
