@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,15 +117,14 @@ def flatten_keys(x: Column, t: T.StructType, sep: str = ".") -> Column:
 
 def flatten_array(x: Column, t: T.StructType, sep: str = ".") -> Column:
     """A map of the paths of all leaves, elements of arrays by their places, to their JSON."""
-    parts = []
-    for p, c, k in leaf_fields(x, t):
-        name = sep.join(p)
-        if isinstance(k, T.ArrayType):
-            parts.append(F.transform(c, lambda y, i, name=name, k=k: F.struct(F.concat(F.lit(f"{name}{sep}"), i.cast("string")).alias("key"), as_json(y, k.elementType).alias("value"))))
-        else:
-            parts.append(F.array(F.struct(F.lit(name).alias("key"), as_json(c, k).alias("value"))))
-    kept = [F.coalesce(x, F.array().cast("array<struct<key: string, value: string>>")) for x in parts]
-    return F.map_from_entries(F.concat(*kept))
+
+    def part(name: str, c: Column, k: T.DataType) -> Column:
+        if not isinstance(k, T.ArrayType):
+            return F.array(F.struct(F.lit(name).alias("key"), as_json(c, k).alias("value")))
+        each = F.transform(c, lambda y, i: F.struct(F.concat(F.lit(f"{name}{sep}"), i.cast("string")).alias("key"), as_json(y, k.elementType).alias("value")))
+        return F.coalesce(each, F.array().cast("array<struct<key: string, value: string>>"))
+
+    return F.map_from_entries(F.concat(*[part(sep.join(p), c, k) for p, c, k in leaf_fields(x, t)]))
 
 
 def as_json(x: Column, t: T.DataType) -> Column:
@@ -351,3 +350,45 @@ def type_consistency(a: Column) -> Column:
     """Whether the elements of an array of VARIANTs have one type, and which types they have."""
     kinds = F.array_sort(F.array_distinct(F.transform(a, lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))))
     return F.struct((F.size(kinds) <= 1).alias("consistent"), kinds.alias("types"))
+
+
+def json_patch(df: DataFrame, column: str, operations: list[dict]) -> DataFrame:
+    """df with the struct in a column changed by RFC 6902 operations known when the plan is made, one after the other: add, replace,
+    remove, copy, move and test (a row that fails one raises an error). A path that the type lacks is an error for all but add."""
+    for o in operations:
+        x, t = F.col(column), df.schema[column].dataType
+        source = find(x, t, o["from"]) if "from" in o else None
+        there = find(x, t, o["path"])
+        if o["op"] in ("replace", "remove", "test") and not there or "from" in o and not source:
+            raise ValueError(f"nothing at {o.get('from', o['path'])}")
+        if o["op"] == "remove":
+            x = delete_path(x, t, o["path"])
+        elif o["op"] == "test":
+            x = F.when(there[0].eqNullSafe(literal(o["value"])), x).otherwise(F.raise_error(F.lit(f"test failed at {o['path']}")).cast(t))
+        elif o["op"] in ("add", "replace", "copy", "move"):
+            value = source[0] if source else literal(o["value"])
+            x = set_path(x, t, o["path"], value)
+        else:
+            raise ValueError(f"no such operation: {o['op']}")
+        df = df.withColumn(column, x)
+        if o["op"] == "move":
+            df = df.withColumn(column, delete_path(F.col(column), df.schema[column].dataType, o["from"]))
+    return df
+
+
+def literal(value) -> Column:
+    """A JSON value as a column."""
+    if isinstance(value, dict):
+        return F.struct(*[literal(v).alias(k) for k, v in value.items()])
+    return F.array(*map(literal, value)) if isinstance(value, list) else F.lit(value)
+
+
+def json_diff(a: Column, b: Column, t: T.DataType) -> Column:
+    """The operations, as JSON texts, that make b of a, for values of one type: replace where leaves differ."""
+    theirs = {p: c for p, c, _ in leaf_fields(b, t)}
+
+    def change(p: tuple[str, ...], c: Column, k: T.DataType) -> Column:
+        new = F.coalesce(as_json(theirs[p], k), F.lit("null"))
+        return F.when(~c.eqNullSafe(theirs[p]), F.concat(F.lit('{"op":"replace","path":"/' + "/".join(p) + '","value":'), new, F.lit("}")))
+
+    return F.array_compact(F.array(*[change(p, c, k) for p, c, k in leaf_fields(a, t)]))

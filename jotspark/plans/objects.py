@@ -79,3 +79,23 @@ def object_styles(spark, sf_dir):
         "c_custkey", *styles, J.estimate_size(x, t).alias("size"), F.lit(json.dumps(J.infer_schema(t))).alias("described"), J.json_pointer(F.parse_json(F.to_json(x)), "/homePlace").cast("int").alias("pointed"), F.to_json(J.defaults_deep(x, t, more, tm)).alias("filled"),
         F.reverse(F.array_sort(F.map_keys(J.flatten_array(x, t)))).alias("flat_names"),
     )
+
+
+@query(
+    "object_patches",
+    """SELECT c_custkey, '{"name":"new","home":{"nation":' || c_nationkey || ',"more":[1,2]},"copied":' || c_nationkey || '}' AS patched, list_filter(['{"op":"replace","path":"/name","value":"x"}', CASE WHEN c_nationkey <> 3 THEN '{"op":"replace","path":"/home/nation","value":3}' END], lambda x: x IS NOT NULL) AS changes,
+    'name:"' || c_name || '" home.nation:' || c_nationkey || ' tags.0:' || c_custkey AS flat FROM customer""",
+)
+def object_patches(spark, sf_dir):
+    x = F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation")).alias("home"), F.lit(1).alias("gone"))
+    c = table(spark, sf_dir, "customer")
+    df = c.select("c_custkey", x.alias("x"))
+    t = df.schema["x"].dataType
+    other = F.struct(F.lit("x").alias("name"), F.struct(F.lit(3).alias("nation")).alias("home"), F.lit(1).alias("gone"))
+    tagged = F.struct(F.col("x.name").alias("name"), F.col("x.home").alias("home"), F.array("c_custkey").alias("tags"))
+    df = df.withColumns({"changes": J.json_diff(F.col("x"), other, t), "t": tagged})
+    entries = F.array_sort(F.map_entries(J.flatten_array(F.col("t"), df.schema["t"].dataType)))
+    df = df.withColumn("flat", F.array_join(F.transform(F.array(F.get(entries, F.lit(1)), F.get(entries, F.lit(0)), F.get(entries, F.lit(2))), lambda e: F.concat_ws(":", e["key"], e["value"])), " "))
+    steps = [{"op": "test", "path": "/gone", "value": 1}, {"op": "replace", "path": "/name", "value": "new"}, {"op": "add", "path": "/home/more", "value": [1, 2]}, {"op": "copy", "from": "/home/nation", "path": "/copied"}, {"op": "remove", "path": "/gone"}]
+    out = J.json_patch(df, "x", steps)
+    return out.select("c_custkey", F.to_json("x").alias("patched"), "changes", "flat")
