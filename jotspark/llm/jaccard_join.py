@@ -16,7 +16,7 @@ from jotspark.llm.common import stored, table
 from jotspark.llm.components import components
 
 #: Members and queries that meet in one task, and the shingles of each side.
-MEMBERS, QUERIES, MEMBER_SHINGLES, QUERY_SHINGLES = 256, 2048, 300_000, 1_000_000
+MEMBERS, QUERIES, MEMBER_SHINGLES, QUERY_SHINGLES = 256, 512, 300_000, 600_000
 #: Documents looked at to order the tokens; the order decides the work, never the result.
 SAMPLE = 8192
 #: Tokens of the sample whose order is kept, the most frequent ones.
