@@ -22,6 +22,23 @@ def _osa(a: str, b: str) -> int:
     return one[-1]
 
 
+def _damerau(a: str, b: str) -> int:
+    """The same, but a part may be edited again after a swap."""
+    far = len(a) + len(b)
+    seen: dict[str, int] = {}
+    d = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
+    for i, x in enumerate(a, 1):
+        d.append([far, i])
+        match = 0
+        for j, y in enumerate(b, 1):
+            k, m = seen.get(y, 0), match
+            if x == y:
+                match = j
+            d[i + 1].append(min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1)))
+        seen[x] = i
+    return d[-1][-1]
+
+
 def _jaro(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
@@ -52,6 +69,10 @@ def osa_distance(a: Column, b: Column) -> Column:
     return _pairs(_osa, "long")(a, b)
 
 
+def damerau_levenshtein(a: Column, b: Column) -> Column:
+    return _pairs(_damerau, "long")(a, b)
+
+
 def jaro(a: Column, b: Column) -> Column:
     """0 to 1; two empty texts are alike."""
     return _pairs(_jaro, "double")(a, b)

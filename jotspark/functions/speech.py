@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from jotspark.functions.fuzzy import indices, jaro_winkler
 
@@ -23,7 +24,7 @@ NYSIIS = [
     ("^MAC", "MCC"), ("^KN", "NN"), ("^K", "C"), ("^(PH|PF)", "FF"), ("^SCH", "SSS"), ("(EE|IE)$", "Y"), ("(DT|RT|RD|NT|ND)$", "D"),
 ]
 NYSIIS_INNER = [
-    ("(?<=.)EV", "AF"), ("(?<=.)[AEIOU]", "A"), ("(?<=.)Q", "G"), ("(?<=.)Z", "S"), ("(?<=.)M", "N"), ("(?<=.)KN", "NN"), ("(?<=.)K", "C"), ("(?<=.)SCH", "SSS"), ("(?<=.)PH", "FF"), ("(?<=[^A])H(?=.)", "~"), ("(?<=.)H(?=[^A])", "~"), ("(?<=A)W", "A"),
+    ("(?<=.)EV", "AF"), ("(?<=.)[AEIOU]", "A"), ("(?<=.)Q", "G"), ("(?<=.)Z", "S"), ("(?<=.)M", "N"), ("(?<=.)KN", "NN"), ("(?<=.)K", "C"), ("(?<=.)SCH", "SSS"), ("(?<=.)PH", "FF"), ("(?<=[^A])H", "~"), ("(?<=.)H(?=[^A])", "~"), ("(?<=A)W", "A"),
 ]
 METAPHONE = [
     ("^(AE|GN|KN|PN|WR)", "#$1"), ("^#.", ""), ("^X", "S"), ("^WH", "W"), ("([A-BD-Z])\\1+", "$1"), ("MB$", "M"), ("SCH", "SK"), ("C(?=IA|H)", "X"), ("XH", "X"), ("S?C(?=[EIY])", "S"), ("C", "K"), ("DG(?=[EIY])", "J"), ("D", "T"), ("GH(?![AEIOU]|$)", ""), ("GH$", ""), ("G(?=N(ED)?$)", ""),
@@ -115,7 +116,7 @@ def detect_language_confidence(s: Column) -> Column:
     return detect_language_info(s)["confidence"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal(s: pd.Series, form: pd.Series) -> pd.Series:
     return s.str.normalize(form.iloc[0]) if len(s) else s
 

@@ -50,9 +50,9 @@ def moving_avg(df: DataFrame, by: list[str], order: list[str], value: str, size:
 
 def outliers_iqr(df: DataFrame, key: str, value: str, factor: float = 1.5) -> DataFrame:
     """Rows beyond the quartiles of their group by more than factor times their distance."""
-    q = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("__q1"), F.percentile(value, F.lit(0.75)).alias("__q3"))
+    q = exact_quantiles(df, [key], value, {"__q1": 0.25, "__q3": 0.75}).drop("n")
     far = (F.col("__q3") - F.col("__q1")) * factor
-    return df.join(q, key).filter((F.col(value) < F.col("__q1") - far) | (F.col(value) > F.col("__q3") + far)).drop("__q1", "__q3")
+    return df.join(F.broadcast(q) if q.count() <= 100_000 else q, key).filter((F.col(value) < F.col("__q1") - far) | (F.col(value) > F.col("__q3") + far)).drop("__q1", "__q3")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -132,3 +132,22 @@ def ranks_by_range(df: DataFrame, by: list[str], value: str, *then: Column, desc
     out = joined.alias("d").join(counts.alias("c"), cond).select("d.*", "__n", "__kinds")
     out = out.withColumns({"rank": (F.rank().over(inside) + F.col("__n")).cast("long"), "dense_rank": (F.dense_rank().over(inside) + F.col("__kinds")).cast("long"), "row_number": (F.row_number().over(rows) + F.col("__n")).cast("long")})
     return out.drop("__range", "__n", "__kinds")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """n and quantiles of each group's values, between neighbours where they lie between; by ranks over ranges, so that no task
+    holds a group's values. Null values do not count."""
+    known = df.filter(F.col(value).isNotNull()).select(*by, value)
+    ranked = ranks_by_range(known, by, value).select(*by, value, "row_number")
+    n = known.groupBy(*by).agg(F.count("*").alias("n"))
+    n = F.broadcast(n) if n.count() <= 100_000 else n
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in by]
+    rows = ranked.alias("r").join(n.alias("n"), on).select("r.*", "n")
+    out = []
+    for name, q in wanted.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        pick = lambda place: F.max(F.when(F.col("row_number") == place + 1, F.col(value)))  # noqa: B023, E731
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        share = F.max(at - F.floor(at))
+        out.append((low + (high - low) * share).alias(name))
+    return rows.groupBy(*by).agg(F.max("n").alias("n"), *out)

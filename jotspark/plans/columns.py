@@ -11,12 +11,16 @@ from jotspark.plans.relational import table
 
 
 def registry():
-    """Queries by name, their SQL, and a decorator that adds to both."""
+    """Queries by name, their SQL, and a decorator that adds to both; lists: names of array columns, which are given as JSON texts."""
     queries, oracle = {}, {}
 
-    def query(name, sql):
+    def query(name, sql, lists=""):
         def register(fn):
-            queries[name], oracle[name] = fn, sql
+            def listed(spark, sf_dir):
+                return fn(spark, sf_dir).withColumns({c: F.to_json(c) for c in lists.split()})
+
+            queries[name] = listed if lists else fn
+            oracle[name] = f"SELECT * REPLACE ({', '.join(f'to_json({c})::VARCHAR AS {c}' for c in lists.split())}) FROM ({sql})" if lists else sql
             return fn
 
         return register

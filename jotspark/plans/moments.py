@@ -40,6 +40,7 @@ def time_functions(spark, sf_dir):
     """WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'the colour of the part is ' WHEN 1 THEN 'die Farbe von dem Teil ist nicht ' WHEN 2 THEN 'la couleur de cette pièce est dans ' WHEN 3 THEN 'el color de los coches por ' ELSE 'xyz ' END || p_name AS s FROM part)
     SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'English' WHEN 1 THEN 'Deutsch' WHEN 2 THEN 'Français' WHEN 3 THEN 'Español' END AS name, CASE p_partkey % 5 WHEN 0 THEN 'eng' WHEN 1 THEN 'deu' WHEN 2 THEN 'fra' WHEN 3 THEN 'spa' END AS iso, p_partkey % 5 < 4 AS sure,
     list_filter(string_split(s, ' '), lambda w: lower(w) NOT IN ('the', 'of', 'is', 'la')) AS kept, p_partkey % 5 = 0 AS first_is_stop, 'couleur de piece' AS plain FROM t""",
+    lists="kept",
 )
 def language_names(spark, sf_dir):
     k = F.col("p_partkey") % 5
@@ -57,6 +58,7 @@ def language_names(spark, sf_dir):
     SELECT n_nationkey, CASE WHEN v = 'nation_1' THEN 'exact' WHEN starts_with(v, 'nation_1') THEN 'prefix' WHEN contains(v, 'nation_1') THEN 'contains' WHEN jaro_winkler_similarity(v, 'nation_1') > 0.8 THEN 'fuzzy' ELSE 'none' END AS kind,
     CASE WHEN v = 'nation_1' THEN 1000 WHEN starts_with(v, 'nation_1') THEN 800 WHEN contains(v, 'nation_1') THEN 600 WHEN jaro_winkler_similarity(v, 'nation_1') > 0.8 THEN 400 ELSE 0 END AS score,
     round(1 - damerau_levenshtein(v, 'nation_1') / greatest(length(v), 8), 9) AS likeness, list_filter(range(0, length(v)), lambda i: substr(v, i + 1, 1) IN ('a', 'i')) AS places FROM n""",
+    lists="places",
 )
 def ranked_names(spark, sf_dir):
     from jotspark.functions.fuzzy import osa_distance

@@ -26,6 +26,7 @@ def people(spark, sf_dir):
     "object_paths",
     """SELECT c_custkey, c_nationkey AS nation, c_custkey AS first_tag, 7 AS last_tag, 'none' AS missing, true AS has_nation, false AS has_other, true AS has_tag, false AS has_tag_9, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'unknown' END AS segment,
     ['/fullName', '/homePlace', '/homePlace/nationKey', '/homePlace/emptyText', '/homePlace/segment', '/someTags'] AS pointers, ['homePlace.nationKey'] AS places, [c_nationkey::VARCHAR] AS plucked, 5 AS n_leaves, '"' || c_name || '"' AS first_leaf, 7 AS n_all FROM customer""",
+    lists="pointers places plucked",
 )
 def object_paths(spark, sf_dir):
     df, x, t = people(spark, sf_dir)
@@ -44,6 +45,7 @@ def object_paths(spark, sf_dir):
     '{"full_name":"' || c_name || '","home_place":{"nation_key":' || c_nationkey || ',"empty_text":""' || seg || '},"some_tags":[' || c_custkey || ',null,7]}' AS snake, '{"Full-Name":"' || c_name || '","Home-Place":{"Nation-Key":' || c_nationkey || ',"Empty-Text":""' || replace(seg, 'segment', 'Segment') || '},"Some-Tags":[' || c_custkey || ',null,7]}' AS train,
     '{"fullName":"' || c_name || '","homePlace":{"nationKey":1,"emptyText":""' || seg || ',"new":true},"someTags":[' || c_custkey || ',null,7]}' AS merged, [c_custkey, 7] AS compacted, true AS same_shape, true AS equal_self, false AS equal_other,
     60.0 + CASE WHEN c_nationkey % 2 = 0 THEN 20 ELSE 0 END AS score, 5 AS n_flat, c_nationkey AS back, 'X' || c_name AS walked FROM (SELECT *, CASE WHEN c_nationkey % 2 = 0 THEN ',"segment":"' || c_mktsegment || '"' ELSE '' END AS seg FROM customer)""",
+    lists="compacted",
 )
 def object_changes(spark, sf_dir):
     df, x, t = people(spark, sf_dir)
@@ -67,6 +69,7 @@ def object_changes(spark, sf_dir):
     "object_styles",
     """SELECT c_custkey, '{"fullName":1,"homePlace":' || c_nationkey || '}' AS camel, '{"full-name":1,"home-place":' || c_nationkey || '}' AS kebab, '{"FullName":1,"HomePlace":' || c_nationkey || '}' AS pascal, '{"FULL_NAME":1,"HOME_PLACE":' || c_nationkey || '}' AS shouty_snake, '{"FULL-NAME":1,"HOME-PLACE":' || c_nationkey || '}' AS shouty_kebab,
     27 + length(c_nationkey::VARCHAR) AS size, '{"type": "object", "properties": {"fullName": {"type": "number"}, "homePlace": {"type": "number"}}}' AS described, c_nationkey AS pointed, '{"fullName":1,"homePlace":' || c_nationkey || ',"more":2}' AS filled, ['homePlace', 'fullName'] AS flat_names FROM customer""",
+    lists="flat_names",
 )
 def object_styles(spark, sf_dir):
     x = F.struct(F.lit(1).alias("fullName"), F.col("c_nationkey").alias("homePlace"))
@@ -85,6 +88,7 @@ def object_styles(spark, sf_dir):
     "object_patches",
     """SELECT c_custkey, '{"name":"new","home":{"nation":' || c_nationkey || ',"more":[1,2]},"copied":' || c_nationkey || '}' AS patched, list_filter(['{"op":"replace","path":"/name","value":"x"}', CASE WHEN c_nationkey <> 3 THEN '{"op":"replace","path":"/home/nation","value":3}' END], lambda x: x IS NOT NULL) AS changes,
     'name:"' || c_name || '" home.nation:' || c_nationkey || ' tags.0:' || c_custkey AS flat FROM customer""",
+    lists="changes",
 )
 def object_patches(spark, sf_dir):
     x = F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation")).alias("home"), F.lit(1).alias("gone"))

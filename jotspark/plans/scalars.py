@@ -68,6 +68,7 @@ def type_functions(spark, sf_dir):
     replace(p_name, 'a', '<&>') AS replaced, replace(replace(replace(replace(p_name, 'a', '<&>'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, p_name AS unescaped, contains(p_name, 'red') AS has_red, contains(p_name, 'e') AS inside_e, ends_with(p_type, 'L') AS ends_l, list_transform(string_split(left(p_name, 3), ''), lambda c: unicode(c)) AS codes,
     ltrim('  ' || p_name) AS left_trimmed, rtrim(p_name || '  ') AS right_trimmed, printf('%s has %d', p_name, p_size) AS printed, p_name || ' (' || p_brand || ')' AS formatted, 'Part ' || p_name || ', size ' || p_size AS filled, replace(p_name, ' ', chr(10)) AS wrapped, p_name || ' aeon' AS plain,
     regexp_matches(p_name, '^[a-m]') AS early, regexp_replace(p_name, '[aeiou]', '*', 'g') AS consonants, string_split_regex(p_name, '[ e]') AS split_parts, regexp_extract_all(p_name, '[aeiou]+') AS vowels, upper(left(p_name, 1)) || lower(substr(p_name, 2)) AS human, lower(p_brand) || '-' || upper(p_brand) AS cases FROM part WHERE regexp_matches(p_name, '[aeiou]')""",
+    lists="codes split_parts vowels",
 )
 def text_functions(spark, sf_dir):
     n, b, z = F.col("p_name"), F.col("p_brand"), F.col("p_size")
@@ -107,6 +108,7 @@ def keyed_hashes(spark, sf_dir):
 @query(
     "csv_texts",
     r"""SELECT c_custkey, '"' || c_name || ',x",' || c_mktsegment AS row_text, c_name || chr(9) || c_mktsegment AS tabbed, c_name || ',1' || chr(10) || c_mktsegment || ',"a""b"' AS rows_text, 'name,seg' || chr(10) || c_name || ',' || c_mktsegment AS table_text, [[c_name || ',x', c_mktsegment]] AS read_back FROM customer""",
+    lists="read_back",
 )
 def csv_texts(spark, sf_dir):
     n, m = F.col("c_name"), F.col("c_mktsegment")

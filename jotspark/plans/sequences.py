@@ -21,6 +21,7 @@ QUERIES, ORACLE, query = registry()
     SELECT p_partkey, range(2, 20, 5) AS ranged, list_transform(list_zip(w[1:2], [p_size, 1]), lambda t: t[1] || ':' || t[2]) AS zipped, list_transform(w[1:2], lambda x, i: x || [p_size, 1][i]) AS combined, [[p_size, 1], [p_size % 7, 2]] AS turned, [p_size, p_size % 7, 1, 2] AS flat,
     list_contains(w, 'red') AS has_red, list_filter([CASE WHEN p_size = 3 THEN 0 END, CASE WHEN p_size % 7 = 3 THEN 1 END, 2], lambda x: x IS NOT NULL) AS threes, p_size IN (1, 2, 3) AND p_size % 7 IN (1, 2, 3) AS inside, CASE WHEN p_size % 10 IN (2, 4, 6) THEN p_size % 10 // 2 - 1 ELSE -(CASE WHEN p_size % 10 < 2 THEN 0 WHEN p_size % 10 < 4 THEN 1 WHEN p_size % 10 < 6 THEN 2 ELSE 3 END) - 1 END AS found,
     [p_size, p_size] AS repeated, [w[1]] || CASE WHEN len(w) >= 3 THEN [w[3]] ELSE [] END || CASE WHEN len(w) >= 5 THEN [w[5]] ELSE [] END AS odd, [p_size, 0, 0, NULL] AS filled, list_distinct([p_size]) AS one, p_size + p_size % 7 + 3 AS total FROM p""",
+    lists="ranged zipped combined turned flat threes repeated odd filled one",
 )
 def array_building(spark, sf_dir):
     z = F.col("p_size")
@@ -41,6 +42,7 @@ def array_building(spark, sf_dir):
     SELECT vec_id, list_transform(range(1, 9), lambda i: list_sum(v[1:i])::BIGINT) AS running, list_transform(range(1, 9), lambda i: list_max(v[1:i])) AS highest, list_sum(list_transform(v, lambda x, i: x * (i - 1)))::BIGINT AS weighted, quantile_cont_.q AS p30,
     (SELECT count(*) FROM range(0, 60) r(i) WHERE (abs(v[1]) + 1) * pow(2, i) < 1000)::BIGINT * 0 + (abs(v[1]) + 1) * pow(2, greatest(0, ceil(log2(1000.0 / (abs(v[1]) + 1)))))::BIGINT AS doubled, list_transform(list_sort(list_distinct(v)), lambda x: x::VARCHAR || ':' || len(list_filter(v, lambda y: y = x))) AS counted
     FROM e, LATERAL (SELECT quantile_cont(u, 0.3) AS q FROM (SELECT unnest(v) AS u)) quantile_cont_""",
+    lists="running highest counted",
 )
 def array_folds(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 8).select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100)).alias("v"))
@@ -57,6 +59,7 @@ def array_folds(spark, sf_dir):
     """WITH w AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: length(x)) AS v FROM part)
     SELECT p_partkey, list_transform(list_filter(range(1, len(v) + 1), lambda i: i = 1 OR v[i] <> v[i - 1]), lambda i: v[i]) AS run_keys, len(list_filter(range(1, len(v) + 1), lambda i: i = 1 OR v[i] <> v[i - 1])) AS runs, list_sum(v)::BIGINT AS total,
     list_transform(list_sort(list_distinct(v)), lambda x: x || '=' || len(list_filter(v, lambda y: y = x))) AS grouped, list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i]) AS firsts, v[1:2] AS page, len(v) > 2 AS more, (len(v) + 1) // 2 AS pages, v[1:1] AS fitting FROM w""",
+    lists="run_keys grouped firsts page fitting",
 )
 def array_runs(spark, sf_dir):
     v = F.col("v")
@@ -73,6 +76,7 @@ def array_runs(spark, sf_dir):
 @query(
     "map_reshaping",
     """SELECT c_custkey, ['NAME', 'SEG'] AS upper_names, ['c', c_mktsegment] AS first_values, ['seg'] AS kept_names, c_name AS pivoted, 2 AS entries, c_name || '!' AS marked FROM customer""",
+    lists="upper_names kept_names first_values",
 )
 def map_reshaping(spark, sf_dir):
     m = F.create_map(F.lit("name"), F.col("c_name"), F.lit("seg"), F.col("c_mktsegment"))

@@ -36,7 +36,7 @@ def test_keys_of_elements(spark):
 
 def test_rearranged(spark):
     a = ints(1, 2, 3)
-    assert one(spark, H.lag(a), H.lead(a), H.interpose(a, 0), H.interleave(a, ints(7, 8)), H.cycle(ints(1), 2)) == [[None, 1, 2], [2, 3, None], [1, 0, 2, 0, 3], [1, 7, 2, 8], [1, 1]]
+    assert one(spark, H.lag(a), H.lead(a), H.interpose(a, 0), H.interleave(a, ints(7, 8)), H.cycle(ints(1), 2)) == [[None, 1, 2], [2, 3, None], [1, 0, 2, 0, 3], [1, 7, 2, 8, 3], [1, 1]]
     assert one(spark, H.cartesian(ints(1, 2), ints(3)), H.pairs(a), H.pull_at(a, -1, 0, 9), H.zipmap(F.array(L("a"), L("b"), L("a")), a)) == [[[1, 3], [2, 3]], [[1, 2], [1, 3], [2, 3]], [3, 1, None], {"b": 2, "a": 3}]
 
 
@@ -74,4 +74,4 @@ def test_checks(spark):
     assert one(spark, Z.jwt_part(token, 0), Z.jwt_part(token, 1), Z.jwt_part(L("x"), 0)) == ['{"alg":"none"}', '{"a":1}', None]
     assert one(spark, Z.ulid_timestamp(L("01ARZ3NDEKTSV4RRFFQ69G5FAV")), Z.ulid_timestamp(L("x"))) == [1469922850259, None]
     now = L(datetime(2024, 1, 4))
-    assert one(spark, Z.time_ago(L(datetime(2024, 1, 1)), now), Z.time_ago(L(datetime(2024, 1, 4, 1)), now), Z.time_ago(now, now)) == ["3 days ago", "in 1 hour", "just now"]
+    assert one(spark, Z.time_ago(L(datetime(2024, 1, 1)), now), Z.time_ago(L(datetime(2024, 1, 4, 1)), now), Z.time_ago(now, now)) == ["3 days ago", "in 1 hour", "0 seconds ago"]
