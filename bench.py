@@ -9,7 +9,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-HEADLINE = ("pricing_summary", "filter_project", "group_by_type", "max_by_customer", "top_orders", "lookup_join", "event_ranks", "price_statistics", "price_histogram", "string_cases", "geography", "json_fields", "word_counts")
+HEADLINE = ("pricing_summary", "filter_project", "group_by_type", "max_by_customer", "top_orders", "lookup_join", "event_ranks", "price_statistics", "price_histogram", "string_cases", "geography", "json_fields", "word_counts", "event_distances", "bm25_search", "object_changes")
 
 
 def main() -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,10 +84,27 @@ def semver_part(s: Column, part: str) -> Column:
 
 
 def semver_satisfies(s: Column, wanted: str) -> Column:
-    """wanted: comparisons joined by commas, each of >=, >, <=, <, =, ^ or ~ and a whole version; a bare version counts as ^."""
+    """wanted: comparisons joined by commas, each of >=, >, <=, <, =, ^ or ~ and a version; a bare version counts as ^. Parts left
+    out or given as x or * are free, and || joins alternatives."""
+    if "||" in wanted:
+        out = F.lit(False)
+        for one in wanted.split("||"):
+            out = out | semver_satisfies(s, one)
+        return out
     out = F.lit(True)
     for part in wanted.split(","):
         part = part.strip()
+        free = re.fullmatch(r"[\^~=]?\s*v?(\d+|[xX*])?(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?", part)
+        fixed = [int(x) for x in free.groups() if x and x.isdigit()] if free else []
+        if free and len(fixed) < 3:
+            parts = [semver_part(s, p) for p in ("major", "minor", "patch")]
+            out = out & semver_part(s, "major").isNotNull()
+            if part[:1] == "^" and len(fixed) == 2 and fixed[0] > 0:
+                out = out & (parts[0] == fixed[0]) & (parts[1] >= fixed[1])
+            else:
+                for have, want in zip(parts, fixed, strict=False):
+                    out = out & (have == want)
+            continue
         sign = next((x for x in (">=", "<=", ">", "<", "=", "^", "~") if part.startswith(x)), "^")
         version = part.removeprefix(sign).strip()
         c = semver_compare(s, F.lit(version))

@@ -151,3 +151,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str,
         share = F.max(at - F.floor(at))
         out.append((low + (high - low) * share).alias(name))
     return rows.groupBy(*by).agg(F.max("n").alias("n"), *out)
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """Of each field of a table, in one pass: field, type, n (values), nulls, about how many distinct values, and the least and highest as text."""
+    plain = [f for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant", "binary")]
+    stats = lambda f, c: F.struct(
+        F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.count(c).alias("n"), F.count_if(c.isNull()).alias("nulls"), F.approx_count_distinct(c).alias("about_distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("highest")
+    )
+    rows = df.agg(F.array(*[stats(f, F.col(f"`{f.name}`")) for f in plain]).alias("x"))
+    return rows.select(F.inline("x"))

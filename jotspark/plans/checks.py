@@ -172,3 +172,17 @@ def price_outliers(spark, sf_dir):
 def names_apart(spark, sf_dir):
     few = table(spark, sf_dir, "region").filter("r_name < 'B'").select(F.col("r_regionkey").alias("n_regionkey"))
     return table(spark, sf_dir, "nation").join(few, "n_regionkey", "left_anti").select("n_nationkey")
+
+
+@query("field_profile", """SELECT 'c_custkey' AS field, count(*) AS n, 0 AS nulls, min(c_custkey)::VARCHAR AS least, max(c_custkey)::VARCHAR AS highest FROM customer UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), 0, min(c_mktsegment), max(c_mktsegment) FROM customer
+    UNION ALL SELECT 'even', count(*) FILTER (c_custkey % 2 = 0), count(*) FILTER (c_custkey % 2 = 1), ((min(c_custkey) + 1) // 2 * 2)::VARCHAR, (max(c_custkey) // 2 * 2)::VARCHAR FROM customer""")
+def field_profile(spark, sf_dir):
+    k = F.col("c_custkey")
+    return O.profile(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(k % 2 == 0, k).alias("even"))).select("field", "n", "nulls", "least", "highest")
+
+
+@query("version_choices", "SELECT p_partkey, p_size BETWEEN 5 AND 5 OR p_size > 30 AS either, true AS any_one, p_size = 7 AS wild, p_size >= 9 AS caret_wild, false AS other FROM part")
+def version_choices(spark, sf_dir):
+    v = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".3"))
+    w = L.semver_satisfies
+    return table(spark, sf_dir, "part").select("p_partkey", w(v, "=1.5.3 || >1.30.3").alias("either"), w(v, "1.x").alias("any_one"), w(v, "1.7.*").alias("wild"), w(v, "^1.9").alias("caret_wild"), w(v, "2.*.x").alias("other"))

@@ -50,3 +50,20 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorife
         df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
     else:
         flattened(df).write.mode(mode).option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+
+
+def slurp(spark: SparkSession, path: str, kind: str = "ndjson", order: str | None = None) -> DataFrame:
+    """All values of a source as one array in one row, for sources that a row can hold; by `order`, else in no order."""
+    rows = F.collect_list(F.struct("*"))
+    df = read(spark, path, kind)
+    return df.agg((F.array_sort(rows, lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)) if order else rows).alias("value"))
+
+
+def from_arrow(spark: SparkSession, data) -> DataFrame:
+    """A DataFrame of an Arrow table."""
+    return spark.createDataFrame(data)
+
+
+def to_arrow(df: DataFrame):
+    """An Arrow table of a result that the driver can hold."""
+    return df.toArrow()

@@ -175,3 +175,26 @@ def test_exact_quantiles(spark):
     rows = [("a", float(v)) for v in (5, 1, 1, 1, 9, 3)] + [("b", 2.0), ("c", None)]
     got = {r.g: (r.n, r.mid) for r in O.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"mid": 0.5}).collect()}
     assert got == {"a": (6, 2.0), "b": (1, 2.0)}
+
+
+def test_sources(spark, tmp_path):
+    from jotspark.sources import files
+
+    (tmp_path / "a.ndjson").write_text('{"id": 9007199254740993, "x": "b"}\nbroken\n{"id": 2, "x": null}\n')
+    (tmp_path / "b.tsv").write_text("p\tq\n1\t2\n")
+    (tmp_path / "c.log").write_text("one\n\ntwo\n")
+    (tmp_path / "d.json").write_text('[{"k": 1},\n {"k": 2}]')
+    base = f"file://{tmp_path}"
+    rows = files.read(spark, f"{base}/a.ndjson", schema="id long, x string")
+    assert sorted(r.id for r in rows.collect()) == [2, 9007199254740993]  # exact beyond 2^53
+    assert files.read(spark, f"{base}/b.tsv").first().asDict() == {"p": "1", "q": "2"}
+    lines = files.with_file(files.read(spark, f"{base}/c.log"))
+    assert [r.value for r in lines.collect()] == ["one", "", "two"] and lines.first().file.endswith("c.log")
+    assert sorted(r.k for r in files.read(spark, f"{base}/d.json").collect()) == [1, 2]
+    assert [x.k for x in files.slurp(spark, f"{base}/d.json", "json", order="k").first().value] == [1, 2]
+    nested = rows.selectExpr("struct(id, struct(x) as y) as z", "array(1, 2) as w").filter("z.id = 2")
+    for kind in ("parquet", "ndjson", "lines", "csv", "tsv"):
+        files.write(nested, f"{base}/out-{kind}", kind)
+    assert files.read(spark, f"{base}/out-tsv", "tsv").columns == ["z.id", "z.y.x", "w"]
+    assert files.read(spark, f"{base}/out-lines", "lines").first().value == '{"z":{"id":2,"y":{}},"w":[1,2]}'
+    assert files.from_arrow(spark, files.to_arrow(rows)).count() == 2
