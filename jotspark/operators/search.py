@@ -39,3 +39,13 @@ def term_counts(df: DataFrame, text_col: str) -> DataFrame:
     entry = lambda times, docs: lambda w: F.struct(w.alias("term"), F.lit(times).alias("times"), F.lit(docs).alias("docs"))
     own = df.select(F.inline(F.concat(F.transform(t, entry(1, 0)), F.transform(F.array_distinct(t), entry(0, 1)))))
     return own.groupBy("term").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+
+
+def fuzzy_search(df: DataFrame, query: str, fields: dict[str, int]) -> DataFrame:
+    """Rows of which some field matches the query, with the highest score of the fields (weights by name, 10 is plain) and that
+    field's name as matched; best first with orderBy("score") by the caller, as no order is kept here."""
+    from jotspark.functions.speech import fuzzy_score
+
+    scores = F.array(*[F.struct(F.coalesce(fuzzy_score(F.col(f), query, w), F.lit(0)).alias("score"), F.lit(-i).alias("i"), F.lit(f).alias("matched")) for i, (f, w) in enumerate(fields.items())])
+    best = df.withColumn("__best", F.array_max(scores)).filter("__best.score > 0")
+    return best.select("*", F.col("__best.score").alias("score"), F.col("__best.matched").alias("matched")).drop("__best")

@@ -101,8 +101,9 @@ def geography(spark, sf_dir):
 
 @query("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS ok, json_keys(props) AS keys FROM events")
 def json_fields(spark, sf_dir):
-    p = F.col("props")
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(p, "$.k").alias("k"), F.try_parse_json(p).isNotNull().alias("ok"), F.json_object_keys(p).alias("keys"))
+    v = F.col("v")  # parsed once
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v")).select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), v.isNotNull().alias("ok"), keys.alias("keys"))
 
 
 @query("url_hosts", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")

@@ -80,3 +80,14 @@ def made_ids(spark, sf_dir):
 @query("page_of_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def page_of_orders(spark, sf_dir):
     return O.paginate(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 3, 20, F.desc("o_totalprice"), "o_orderkey")
+
+
+@query(
+    "searched_parts",
+    """WITH s AS (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS b FROM part), m AS (SELECT *, CASE WHEN n = 'red' THEN 1000 WHEN starts_with(n, 'red') THEN 800 WHEN contains(n, 'red') THEN 600 WHEN jaro_winkler_similarity(n, 'red') > 0.8 THEN 400 ELSE 0 END AS x,
+    CASE WHEN b = 'red' THEN 500 WHEN starts_with(b, 'red') THEN 400 WHEN contains(b, 'red') THEN 300 WHEN jaro_winkler_similarity(b, 'red') > 0.8 THEN 200 ELSE 0 END AS y FROM s) SELECT p_partkey, greatest(x, y) AS score, CASE WHEN x >= y THEN 'p_name' ELSE 'p_brand' END AS matched FROM m WHERE greatest(x, y) > 0""",
+)
+def searched_parts(spark, sf_dir):
+    from jotspark.operators.search import fuzzy_search
+
+    return fuzzy_search(table(spark, sf_dir, "part"), "Red", {"p_name": 10, "p_brand": 5}).select("p_partkey", "score", "matched")
