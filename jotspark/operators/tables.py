@@ -52,7 +52,7 @@ def outliers_iqr(df: DataFrame, key: str, value: str, factor: float = 1.5) -> Da
     """Rows beyond the quartiles of their group by more than factor times their distance."""
     q = exact_quantiles(df, [key], value, {"__q1": 0.25, "__q3": 0.75}).drop("n")
     far = (F.col("__q3") - F.col("__q1")) * factor
-    return df.join(F.broadcast(q) if q.count() <= 100_000 else q, key).filter((F.col(value) < F.col("__q1") - far) | (F.col(value) > F.col("__q3") + far)).drop("__q1", "__q3")
+    return df.join(few(q, 100_000), key).filter((F.col(value) < F.col("__q1") - far) | (F.col(value) > F.col("__q3") + far)).drop("__q1", "__q3")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -109,25 +109,30 @@ def paginate(df: DataFrame, page: int, per_page: int, *order: Column | str) -> D
     return df.orderBy(*order).offset((max(1, page) - 1) * max(1, per_page)).limit(max(1, per_page))
 
 
-def ranks_by_range(df: DataFrame, by: list[str], value: str, *then: Column, descending: bool = False, buckets: int = 64, small: int = 100_000) -> DataFrame:
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df worked out once and marked for broadcast, if it has at most `most` rows; else df as it is."""
+    rows = df.take(most + 1)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
+def ranks_by_range(df: DataFrame, by: list[str], value: str, *then: Column, descending: bool = False, buckets: int = 32, small: int = 100_000) -> DataFrame:
     """rank, dense_rank and row_number as ranks() gives them for the order value, then `then`; but a group is cut into ranges of the
     value, ranked apart, and each range adds what lies before it. So no task sorts a whole group, unless one value fills it.
 
     The ranges follow approximate quantiles, which decide the work and not the result. Null values come last.
     """
-    edges = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("__edges"))
+    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000)).alias("__edges"))
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
-    few = F.broadcast(edges) if edges.count() <= small else edges
-    place = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value))), F.lit(0))
+    place = sum((F.coalesce(F.get("__edges", F.lit(i)) < F.col(value), F.lit(False)).cast("int") for i in range(buckets - 1)), F.lit(0))
     place = F.when(F.col(value).isNull(), buckets + 1).otherwise(-place if descending else place)
-    joined = df.alias("d").join(few.alias("e"), on, "left").select("d.*", place.alias("__range"))
+    joined = df.alias("d").join(few(edges, small // buckets).alias("e"), on, "left").select("d.*", place.alias("__range"))
     first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     inside = Window.partitionBy(*by, "__range").orderBy(first)
     rows = Window.partitionBy(*by, "__range").orderBy(first, *then)
     counts = joined.groupBy(*by, "__range").agg(F.count("*").alias("__n"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("long"))).alias("__kinds"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     counts = counts.withColumns({"__n": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__kinds": F.coalesce(F.sum("__kinds").over(before), F.lit(0))})
-    counts = F.broadcast(counts) if counts.count() <= small * buckets else counts
+    counts = few(counts, small)
     cond = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "__range"]]
     out = joined.alias("d").join(counts.alias("c"), cond).select("d.*", "__n", "__kinds")
     out = out.withColumns({"rank": (F.rank().over(inside) + F.col("__n")).cast("long"), "dense_rank": (F.dense_rank().over(inside) + F.col("__kinds")).cast("long"), "row_number": (F.row_number().over(rows) + F.col("__n")).cast("long")})
@@ -140,7 +145,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str,
     known = df.filter(F.col(value).isNotNull()).select(*by, value)
     ranked = ranks_by_range(known, by, value).select(*by, value, "row_number")
     n = known.groupBy(*by).agg(F.count("*").alias("n"))
-    n = F.broadcast(n) if n.count() <= 100_000 else n
+    n = few(n, 100_000)
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in by]
     rows = ranked.alias("r").join(n.alias("n"), on).select("r.*", "n")
     out = []
