@@ -43,7 +43,7 @@ def joined(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -
     return df.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
 
 
-def general(docs: DataFrame, masks: DataFrame, min_docs: int) -> DataFrame:
+def general(docs: DataFrame, held: DataFrame, masks: DataFrame, min_docs: int) -> DataFrame:
     """Masks of lines that differ in variable fields only: t1, t2 and the first id of the widest template that they share.
 
     A leaf may hold any number of families of lines: a token that many of the leaf's documents have at its place is part of some family's
@@ -53,7 +53,8 @@ def general(docs: DataFrame, masks: DataFrame, min_docs: int) -> DataFrame:
     leaves = masks.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
     leaves = stored(leaves)
     wanted = stored(joined(masks, leaves, ["leaf"]).select("t1", "t2", "n", "docs"))  # few: most leaves hold one mask
-    lines = stored(joined(template_lines(docs), wanted, ["t1", "t2"]))
+    whose = stored(joined(held.select("doc", "t1", "t2"), wanted, ["t1", "t2"], "left_semi").select("doc").distinct())
+    lines = stored(joined(template_lines(joined(docs, whose, ["doc"], "left_semi")), wanted, ["t1", "t2"]))  # only texts with such lines are split again
     words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("docs").alias("docs")))
     places = words.select("t1", "t2", "leaf", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
     seen = stored(places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_docs))
@@ -86,7 +87,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = rows.filter(F.col(text_name).isNotNull()).select(F.xxhash64(id_name, text_name).alias("doc"), F.col(id_name).alias("id"), F.col(text_name).alias("text"))
     lines = stored(template_lines(own).select("doc", "id", "t1", "t2", "leaf", (n_tokens(F.col("mask")) >= LONG_TOKENS).alias("long")))
     masks = stored(lines.groupBy("t1", "t2", "leaf", "long").agg(F.count("*").alias("n"), F.min("id").alias("first")))
-    wide = general(own, masks, min_docs)
+    wide = general(own, lines, masks, min_docs)
     exact = masks.filter((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= min(min_docs, LONG_DOCS)))).select("t1", "t2", "first")
     recurring = stored(exact.unionByName(wide).groupBy("t1", "t2").agg(F.min("first").alias("first")))
     dropped = stored(joined(lines.select("doc", "id", "t1", "t2"), recurring, ["t1", "t2"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("doc", "t1", "t2"))
