@@ -23,6 +23,8 @@ SAMPLE = 8192
 ORDERED = 1_000_000
 #: A token that more nodes hold is looked up under several keys, so that no task gets all of them.
 HELD = 4096
+#: Words of which a worker keeps the hashes, and rows that it works out at once; they bound its memory.
+KNOWN, ROWS = 150_000, 1000
 #: A list of so many keys may be broadcast (about 16 bytes each); beyond it the join is by shuffle.
 SMALL = 2_000_000
 
@@ -36,7 +38,7 @@ class Shingler:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
@@ -80,7 +82,7 @@ def per_text(docs: DataFrame, words: int, schema: str, fn) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        for b in batches:
+        for b in (big.slice(at, ROWS) for big in batches for at in range(0, big.num_rows, ROWS)):
             rows = [fn(shingles(t.as_py()), i, b) for i, t in enumerate(b.column(1))]
             kinds = [pa.list_(pa.int64()) if "array" in x else pa.int64() for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
@@ -178,7 +180,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if len(first) < k:
             more = np.sort(cache["by"][at[common]])[: k - len(first)]
             first = np.r_[first, late[more]]
-        return b.column(0)[i].as_py(), n, digest(s), first
+        return b.column(0)[i].as_py(), n, digest(s), first.copy()  # not a view that keeps the whole set
 
     cache: dict[str, np.ndarray] = {}
     base = stored(per_text(rows, words, "id long, n long, cls long, prefix array<long>", prefix))
