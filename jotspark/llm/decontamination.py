@@ -306,7 +306,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     named: list[str] = [id_col]
     for c in keep:
         named.append(free(c, [*named, "leaks"]))
-    rows = docs.select(F.col(text_col), F.col(id_col), *keep).toDF("__text", *named)
+    kept = list(zip(keep, named[1:], strict=True))
+    sent = [(c, n) for c, n in kept if c != text_col]  # the text goes to the workers once
+    rows = docs.select(F.col(text_col), F.col(id_col), *[c for c, _ in sent]).toDF("__text", id_col, *[n for _, n in sent])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
     rows = rows.withColumn("leaks", F.array().cast(kind))
     for block in range(blocks):
@@ -328,7 +330,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(before, got, strict=True)], found)], b.schema.names)
 
         rows = rows.mapInArrow(run, f"__text string, {fields}, leaks {kind}")
-    return rows.drop("__text")
+    return rows.select(id_col, *[F.col("__text").alias(n) if c == text_col else F.col(n) for c, n in kept], "leaks")
 
 
 def op6_decontamination(spark, sf_dir):

@@ -113,7 +113,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     named: list[str] = [id_col]
     for c in keep:
         named.append(free(c, [*named, *outputs]))
-    rows = docs.select(F.col(text_col), F.col(id_col), *keep).toDF("__text", *named)
+    sent = [(c, n) for c, n in zip(keep, named[1:], strict=True) if c != text_col]  # the text goes to the workers once
+    rows = docs.select(F.col(text_col), F.col(id_col), *[c for c, _ in sent]).toDF("__text", id_col, *[n for _, n in sent])
+    first = 1 if len(sent) == len(keep) else 0
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +140,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 spans.append(found)
             score = np.array(score, float)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(sents, pa.int64()), pa.array(spans, span)],
-                [*b.schema.names[1:], *outputs],
+                [*b.columns[first:], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(sents, pa.int64()), pa.array(spans, span)],
+                [*b.schema.names[first:], *outputs],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int, n_sentences long, offending array<struct<start: long, end: long, p: double>>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[first:])
+    scored = rows.mapInArrow(run, f"{fields}, score double, predicted int, n_sentences long, offending array<struct<start: long, end: long, p: double>>")
+    return scored.select(id_col, *[F.col("__text").alias(n) if c == text_col else F.col(n) for c, n in zip(keep, named[1:], strict=True)], *outputs)
 
 
 def op3_toxicity(spark, sf_dir):
