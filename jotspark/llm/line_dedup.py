@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jotspark.llm.common import free, positional, stored, table
+from jotspark.llm.common import free, let, positional, stored, table
 
 #: Depth of the tree below the token count, least tokens of a line that can be dropped, documents from which a template recurs.
 DEPTH, LEAST_TOKENS, MIN_DOCS = 3, 5, 3
@@ -18,6 +18,8 @@ CONSTANT, STEP = 0.6, 3
 WILD = "<*>"
 #: Dropped lines up to this number may be broadcast (about 40 bytes each); beyond it the join is by shuffle.
 SMALL = 500_000
+#: A leaf of so many comparisons of tokens (its masks squared, times their tokens) is one row; the tokens of larger leaves are counted by joins.
+PAIRS = 50_000
 
 
 def masked(line: Column) -> Column:
@@ -43,6 +45,32 @@ def joined(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -
     return df.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
 
 
+def counted_in_rows(lines: DataFrame) -> DataFrame:
+    """Each mask of the leaves that are one row: t1, t2, leaf, docs and line, its tokens with the number of the leaf's documents that have them there."""
+    leaves = lines.groupBy("leaf").agg(F.first("docs").alias("docs"), F.collect_set(F.struct("t1", "t2", "mask", "n")).alias("masks"))
+
+    def counted(masks: Column) -> Column:
+        def line(m: Column) -> Column:
+            count = lambda t, at: F.aggregate(masks, F.lit(0).cast("long"), lambda c, o: c + F.when(F.get(o["tokens"], at) == t, o["n"]).otherwise(0))
+            return F.transform(m["tokens"], lambda t, at: F.struct(t.alias("token"), count(t, at).alias("c")))
+
+        return F.transform(masks, lambda m: F.struct(m["t1"].alias("t1"), m["t2"].alias("t2"), line(m).alias("line")))
+
+    tokens = F.transform("masks", lambda m: F.struct(m["t1"].alias("t1"), m["t2"].alias("t2"), m["n"].alias("n"), F.split(m["mask"], " ").alias("tokens")))
+    return leaves.select("leaf", "docs", F.explode(let(tokens, counted)).alias("m")).select("m.t1", "m.t2", "leaf", "docs", "m.line")
+
+
+def counted_by_joins(lines: DataFrame, min_docs: int) -> DataFrame:
+    """The same for leaves of any size; tokens of fewer than min_docs documents have no number."""
+    words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("docs").alias("docs")))
+    places = words.select("t1", "t2", "leaf", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
+    seen = stored(places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_docs))
+    placed = joined(places, seen, ["leaf", "at", "token"], "left").select("t1", "t2", F.struct("at", "c").alias("x"))
+    full = placed.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("x")).alias("counts")).join(words, ["t1", "t2"])  # of one line
+    full = full.withColumn("line", F.zip_with(F.split("mask", " "), "counts", lambda t, x: F.struct(t.alias("token"), x["c"].alias("c"))))
+    return full.select("t1", "t2", "leaf", "docs", "line")
+
+
 def general(docs: DataFrame, held: DataFrame, masks: DataFrame, min_docs: int) -> DataFrame:
     """Masks of lines that differ in variable fields only: t1, t2 and the first id of the widest template that they share.
 
@@ -50,17 +78,13 @@ def general(docs: DataFrame, held: DataFrame, masks: DataFrame, min_docs: int) -
     constant text, a rare one fills a field. What is rare depends on the family's size, so each line gives a template
     for each level of frequency; those with enough constant places that enough documents share are families.
     """
-    leaves = masks.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
+    leaves = masks.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs"), F.max("tokens").alias("tokens"))
+    leaves = leaves.filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf", "docs", (F.pow("kinds", F.lit(2)) * F.col("tokens") <= PAIRS).alias("one"))
     leaves = stored(leaves)
-    wanted = stored(joined(masks, leaves, ["leaf"]).select("t1", "t2", "n", "docs"))  # few: most leaves hold one mask
+    wanted = stored(joined(masks, leaves, ["leaf"]).select("t1", "t2", "n", "docs", "one"))  # few: most leaves hold one mask
     whose = stored(joined(held.select("doc", "t1", "t2"), wanted, ["t1", "t2"], "left_semi").select("doc").distinct())
     lines = stored(joined(template_lines(joined(docs, whose, ["doc"], "left_semi")), wanted, ["t1", "t2"]))  # only texts with such lines are split again
-    words = stored(lines.groupBy("t1", "t2").agg(F.first("mask").alias("mask"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("docs").alias("docs")))
-    places = words.select("t1", "t2", "leaf", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
-    seen = stored(places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("c")).filter(F.col("c") >= min_docs))
-    placed = joined(places, seen, ["leaf", "at", "token"], "left").select("t1", "t2", F.struct("at", "c").alias("x"))
-    full = placed.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("x")).alias("counts")).join(words, ["t1", "t2"])  # of one line
-    full = full.withColumn("line", F.zip_with(F.split("mask", " "), "counts", lambda t, x: F.struct(t.alias("token"), x["c"].alias("c"))))
+    full = counted_in_rows(lines.filter("one")).unionByName(counted_by_joins(lines.filter("NOT one"), min_docs))
     top = F.floor(F.log(F.col("docs") / float(min_docs)) / F.log(F.lit(float(STEP))) + 1e-9).cast("int")
     levels = F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))), lambda j: F.pow(F.lit(float(STEP)), j) * min_docs)
     paths = F.transform(levels, lambda least: F.transform("line", lambda x: F.when(x["c"] >= least, x["token"]).otherwise(WILD)))
@@ -85,10 +109,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows, id_name, text_name, names = positional(docs, id_col, text_col)
     own = rows.filter(F.col(text_name).isNotNull()).select(F.xxhash64(id_name, text_name).alias("doc"), F.col(id_name).alias("id"), F.col(text_name).alias("text"))
-    lines = stored(template_lines(own).select("doc", "id", "t1", "t2", "leaf", (n_tokens(F.col("mask")) >= LONG_TOKENS).alias("long")))
-    masks = stored(lines.groupBy("t1", "t2", "leaf", "long").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    lines = stored(template_lines(own).select("doc", "id", "t1", "t2", "leaf", n_tokens(F.col("mask")).alias("tokens")))
+    masks = stored(lines.groupBy("t1", "t2", "leaf", "tokens").agg(F.count("*").alias("n"), F.min("id").alias("first")))
     wide = general(own, lines, masks, min_docs)
-    exact = masks.filter((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= min(min_docs, LONG_DOCS)))).select("t1", "t2", "first")
+    exact = masks.filter((F.col("n") >= min_docs) | ((F.col("tokens") >= LONG_TOKENS) & (F.col("n") >= min(min_docs, LONG_DOCS)))).select("t1", "t2", "first")
     recurring = stored(exact.unionByName(wide).groupBy("t1", "t2").agg(F.min("first").alias("first")))
     dropped = stored(joined(lines.select("doc", "id", "t1", "t2"), recurring, ["t1", "t2"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("doc", "t1", "t2"))
     small = dropped.count() <= SMALL

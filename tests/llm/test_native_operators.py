@@ -235,6 +235,34 @@ def test_lines_equal_brute_force(spark):
     assert sorted(con.execute(line_dedup.oracle("d", "doc_id, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text")).fetchall(), key=str) == sorted(brute_lines(rows), key=str)
 
 
+def test_tokens_of_small_leaves_are_not_dealt_out(spark, monkeypatch):
+    sizes = []
+
+    def stored(df):
+        out = common.stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    rest = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(i, f"the long line named {'abcdefgh'[i % 8]}{'xyz'[i // 8]} {rest}") for i in range(24)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i in range(24)}
+    assert max(sizes) <= len(rows)
+
+
+@pytest.mark.parametrize("pairs", [0, 1500, 10**9])
+def test_lines_counted_in_rows_and_by_joins(spark, monkeypatch, pairs):
+    monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+    rng = random.Random(8)
+    shapes = ["we saw the {} bird in our {} garden at noon", "we saw the {} fox near some {} river at dusk", "they sold {} apples and bread {} today", "all of us went {} by train", "<*> of us {} went by <*> {}"]
+    colours = ["red", "blue", "7", *[c * 3 for c in "abcdefghijklmnopqrst"]]
+    rows = [(i, "\n".join(rng.choice(shapes).format(rng.choice(colours), rng.choice(colours[:4])) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    rows += [rows[5], (6, rows[7][1]), (100, None), (101, "")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_lines(rows), key=str)
+
+
 def test_very_many_lines(spark):
     text = "\n".join(f"line of many number {i} here" for i in range(40_000))
     out = line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text), (3, text), (4, "x")], "doc_id long, text string"))
