@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jotspark.llm.common import stored, table
@@ -17,9 +17,9 @@ from jotspark.llm.components import components
 
 #: Members and queries that meet in one task, and the shingles of each side.
 MEMBERS, QUERIES, MEMBER_SHINGLES, QUERY_SHINGLES = 256, 512, 300_000, 600_000
-#: Documents looked at to order the tokens; the order decides the work, never the result.
-SAMPLE = 8192
-#: Tokens of the sample whose order is kept, the most frequent ones.
+#: Documents looked at to order the tokens, and the share of all whose first tokens are looked at then; the order decides the work, never the result.
+SAMPLE, SHARE = 8192, 1 / 8
+#: Tokens whose order is kept, the most frequent ones.
 ORDERED = 1_000_000
 #: A token that more nodes hold is looked up under several keys, so that no task gets all of them.
 HELD = 4096
@@ -29,6 +29,11 @@ KNOWN, ROWS = 150_000, 1000
 SMALL = 2_000_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is short enough; a stored table, as it is counted."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes (a pair of texts meets a false match with odds of 2^-64 a pair of shingles)."""
 
@@ -57,6 +62,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def first_size(n: int, percent: int) -> int:
+    """So many first tokens of a set of n hold one that any linked set has among its own."""
+    return n - least_overlap(n, percent) + 1
+
+
 def least_hits(percent: int) -> Column:
     """Tokens that a query's first tokens and the union of a group's must share if a member can link with the query.
 
@@ -78,25 +88,55 @@ def least_hits(percent: int) -> Column:
 
 
 def per_text(docs: DataFrame, words: int, schema: str, fn) -> DataFrame:
-    """docs: id (long), text, and more; fn(shingles, row index, batch) gives the output row."""
+    """docs: id (long), text, and more; fn(shingles, id) gives the first columns of the output row, and what docs has more follows."""
+    kinds = [pa.list_(pa.int64()) if "array" in x else pa.int64() for x in schema.split(", ")]
+    more = "".join(f", `{c}` {kind}" for c, kind in docs.dtypes[2:])
+    names = [x.split()[0] for x in schema.split(", ")] + docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in (big.slice(at, ROWS) for big in batches for at in range(0, big.num_rows, ROWS)):
-            rows = [fn(shingles(t.as_py()), i, b) for i, t in enumerate(b.column(1))]
-            kinds = [pa.list_(pa.int64()) if "array" in x else pa.int64() for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
+            rows = [fn(shingles(t.as_py()), i.as_py()) for i, t in zip(b.column(0), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)] + b.columns[2:], names)
+
+    return docs.mapInArrow(run, schema + more)
+
+
+def first_tokens(tokens: np.ndarray, k: int, listed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first k of a set's tokens in the order of all: those not listed, by value, then the listed ones by their place."""
+    at = np.searchsorted(listed, tokens)
+    at[at == len(listed)] = 0
+    late = listed[at] == tokens if len(listed) else np.zeros(len(tokens), bool)
+    first = tokens[~late][:k]
+    if len(first) < k:
+        first = np.r_[first, tokens[late][np.argsort(place[at[late]])[: k - len(first)]]]
+    return first.copy()  # not a view that keeps the whole set
 
-    return docs.mapInArrow(run, schema)
 
+def frequent(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that come late in the order, rarest first, at most the ORDERED most frequent, by value with their places: those seen in three or more of about
+    SAMPLE documents, and, before them, those that three or more of a share of all documents have among their first tokens. By the share a token of
+    very many documents is found however large the table is; a fixed number of documents alone would leave ever more frequent ones among the first."""
+    spark, total = docs.sparkSession, max(1, docs.count())
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Tokens seen in three or more of about SAMPLE documents, rarest first; at most the ORDERED most frequent."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    tokens = per_text(some, words, "tokens array<long>", lambda s, i, b: (s,))
-    seen = tokens.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.col("n").desc(), F.col("t").desc()).limit(ORDERED).select("t").toPandas()
-    return seen["t"].to_numpy(np.int64)[::-1].copy()
+    def some(share: float) -> DataFrame:
+        return docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)) + 1)
+
+    def seen(tokens: DataFrame) -> np.ndarray:
+        counted = tokens.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n >= 3")
+        return counted.orderBy(F.col("n").desc(), F.col("t").desc()).limit(ORDERED).select("t").toPandas()["t"].to_numpy(np.int64)
+
+    def placed(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(tokens, kind="stable")
+        return tokens[by], -by  # the most frequent, the first here, has the last place
+
+    tokens = seen(per_text(some(SAMPLE / total), words, "tokens array<long>", lambda s, i: (s,)))
+    if SAMPLE < SHARE * total:
+        known = spark.sparkContext.broadcast(placed(tokens))
+        ahead = per_text(some(SHARE), words, "tokens array<long>", lambda s, i: (first_tokens(s, 2 * first_size(len(s), percent), *known.value),))
+        more = seen(ahead)
+        tokens = np.r_[tokens, more[~np.isin(more, tokens)]][:ORDERED]
+    return placed(tokens)
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -160,94 +200,74 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Tokens that several classes share select groups; a task meets a bounded part of a group's members with a bounded part of
     the queries that the matrix sends there, so a large group is many tasks. Rows without an id are in no component (null); an empty table gives none.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(frequent(rows, words))
-
-    def prefix(s: np.ndarray, i: int, b: pa.RecordBatch) -> tuple:
-        n, late = len(s), order.value
-        if not n:
-            return b.column(0)[i].as_py(), 0, None, []
-        k = n - least_overlap(n, percent) + 1
-        if "rank" not in cache:
-            cache["by"] = np.argsort(late, kind="stable")
-            cache["rank"] = late[cache["by"]]
-        sorted_late = cache["rank"]
-        at = np.searchsorted(sorted_late, s)
-        at[at == len(sorted_late)] = 0
-        common = sorted_late[at] == s if len(sorted_late) else np.zeros(n, bool)
-        first = s[~common][:k]
-        if len(first) < k:
-            more = np.sort(cache["by"][at[common]])[: k - len(first)]
-            first = np.r_[first, late[more]]
-        return b.column(0)[i].as_py(), n, digest(s), first.copy()  # not a view that keeps the whole set
-
-    cache: dict[str, np.ndarray] = {}
-    base = stored(per_text(rows, words, "id long, n long, cls long, prefix array<long>", prefix))
-    classes = base.filter("n > 0 and id is not null").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.countDistinct("id").alias("copies"))
-    copied = stored(classes.filter("rows > 1").drop("rows"))
-
-    # tokens that two classes share, and the nodes (first ids of classes) that hold them
-    single = base.filter("n > 0 and id is not null").join(copied, ["cls", "n"], "left").filter("rep is null or rep = id")
-    tokens = single.select(F.col("id").alias("node"), "n", "cls", F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("prefix").alias("t"))
-    shared = stored(tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
-    if shared.count() <= SMALL:
-        shared = F.broadcast(shared)
-    held = stored(tokens.join(shared, "t"))
+    order = docs.sparkSession.sparkContext.broadcast(frequent(rows, words, percent))
+
+    def prefix(s: np.ndarray, i: int | None) -> tuple:
+        return (i, len(s), digest(s), first_tokens(s, first_size(len(s), percent), *order.value)) if len(s) else (i, 0, None, [])
+
+    base = stored(per_text(rows, words, "id long, n long, cls long, prefix array<long>", prefix).withColumn("row", F.monotonically_increasing_id()))
+    classes = base.filter("n > 0 and id is not null").groupBy("cls", "n").agg(F.min(F.struct("id", "row")).alias("rep"), F.count("*").alias("rows"), F.countDistinct("id").alias("copies"))
+    copied = small(stored(classes.filter("rows > 1").select("cls", "n", F.col("rep.id").alias("rep"), F.col("rep.row").alias("rep_row"), "copies")))
+
+    # tokens that two classes share, and the nodes (first ids of classes; row tells the class) that hold them; nothing but token and row is sent for all tokens
+    single = base.filter("n > 0 and id is not null").join(copied, ["cls", "n"], "left").filter("rep_row is null or rep_row = row")
+    held = single.select("row", F.explode("prefix").alias("t")).withColumn("df", F.count("*").over(Window.partitionBy("t"))).filter("df > 1")
 
     # groups: the most frequent of a node's tokens and its size, to 5 per cent, name its group; large groups have parts
-    named = held.groupBy("node", "n", "cls", "copies").agg(F.max(F.struct("df", "t"))["t"].alias("top"))
-    named = named.select("node", "n", "cls", "copies", F.xxhash64("top", F.floor(F.log("n") / F.log(F.lit(1.05)))).alias("g"))
-    named = stored(named)
-    sizes = named.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    parts = stored(sizes.select("g", F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("s") / MEMBER_SHINGLES)).alias("parts")))
-    member = stored(named.join(parts, "g").select("node", "n", "cls", "copies", "g", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
+    held = stored(held).withColumn("top", F.max(F.struct("df", "t")).over(Window.partitionBy("row"))["t"])
+    nodes = single.select("row", F.col("id").alias("node"), "n", "cls", F.coalesce("copies", F.lit(1)).alias("copies"))
+    grouped = held.join(nodes, "row").withColumn("g", F.xxhash64("top", F.floor(F.log("n") / F.log(F.lit(1.05)))))
+    grouped = stored(grouped.select("row", "t", "df", (F.col("t") == F.col("top")).alias("names"), "node", "n", "cls", "copies", "g"))
+    sizes = grouped.filter("names").groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = sizes.select("g", F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("s") / MEMBER_SHINGLES)).alias("parts"))
+    parts = small(stored(parts.filter("parts > 1")))
+    owned = grouped.join(parts, "g", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))))
+    member = stored(owned.filter("names").select("row", "node", "n", "cls", "copies", "g", "part"))
 
     # the matrix of tokens and groups; a query opens the groups of its tokens that come after its own
-    owned = held.select("t", "cls", F.ceil(F.col("df") / HELD).alias("keys")).join(member, "cls")
-    matrix = stored(owned.groupBy("t", "g", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("keys").alias("keys")))
+    owned = owned.select("row", "t", F.ceil(F.col("df") / HELD).alias("keys"), "n", "g", "part")
+    matrix = owned.groupBy("t", "g", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("keys").alias("keys"))
     matrix = matrix.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys") - 1))).drop("keys")  # one key but for tokens of many nodes
-    asks = stored(owned.select("t", F.pmod(F.xxhash64("cls"), "keys").alias("key"), "cls", "n", F.col("g").alias("own_g"), F.col("part").alias("own_part")))
+    asks = owned.select("t", F.pmod(F.xxhash64("row"), "keys").alias("key"), "row", "n", F.col("g").alias("own_g"), F.col("part").alias("own_part"))
     after = (F.col("g") > F.col("own_g")) | ((F.col("g") == F.col("own_g")) & (F.col("part") >= F.col("own_part")))
     alone = (F.col("g") == F.col("own_g")) & (F.col("part") == F.col("own_part")) & (F.col("c") == 1)
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    hit = asks.join(matrix, ["t", "key"]).filter(after & ~alone).groupBy("cls", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
-    opened = stored(hit.filter(fits & (F.col("hits") >= least_hits(percent))).drop("least", "most"))
+    hit = asks.join(matrix, ["t", "key"]).filter(after & ~alone).groupBy("row", "n", "g", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
+    opened = stored(hit.filter(fits & (F.col("hits") >= least_hits(percent))).select("row", "n", "g", "part"))
     load = opened.groupBy("g", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    load = stored(load.select("g", "part", F.greatest(F.ceil(F.col("c") / QUERIES), F.ceil(F.col("s") / QUERY_SHINGLES)).alias("turns")))
-
-    # whole sets of the nodes that take part, from a second reading of their texts
-    few_nodes = member.count() <= SMALL  # then the sets stay where they are, and what they are needed for goes to them
-    whose = member.select("cls", "node", "copies")
-    opened = stored(opened.join(F.broadcast(whose) if few_nodes else whose, "cls"))
-    active = stored(opened.select("node").union(member.join(load, ["g", "part"], "left_semi").select("node")).distinct().withColumnRenamed("node", "id"))
-    few = F.broadcast(active) if active.count() <= SMALL else active
-    texts = rows.join(few, "id", "left_semi")
-    sets = per_text(texts, words, "node long, n long, cls long, tokens array<long>", lambda s, i, b: (b.column(0)[i].as_py(), len(s), digest(s) if len(s) else None, s))
-    sets = stored(sets.filter("n > 0"))
-    side = F.broadcast if few_nodes and opened.count() <= SMALL else (lambda df: df)
+    load = small(stored(load.select("g", "part", F.greatest(F.ceil(F.col("c") / QUERIES), F.ceil(F.col("s") / QUERY_SHINGLES)).alias("turns"))))
+
+    # where a node's set has to go, as a member of its part or as a query or both
     turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn")
-    seats = stored(member.join(load, ["g", "part"]).select("node", "cls", "copies", "g", "part", turn))
-    members = sets.join(side(seats), ["node", "cls"]).select("node", "n", "cls", "copies", "tokens", "g", "part", "turn")
-    visits = stored(opened.join(load, ["g", "part"]).select("node", "cls", "copies", "g", "part", F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn")))
-    queries = sets.select("node", "cls", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")).join(side(visits), ["node", "cls"])
-    queries = queries.select(F.col("node").alias("q_node"), F.col("cls").alias("q_cls"), F.col("copies").alias("q_copies"), "q_n", "q_tokens", F.col("g").alias("q_g"), F.col("part").alias("q_part"), F.col("turn").alias("q_turn"))
-
-    def meet(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        joins, counts = linked(members, queries, percent)
+    seats = member.join(load, ["g", "part"]).select("row", "node", "cls", "copies", "g", "part", turn, F.lit(True).alias("seat"))
+    whose = small(member.select("row", "node", "cls", "copies"))
+    visits = opened.join(whose, "row").join(load, ["g", "part"]).select("row", "node", "cls", "copies", "g", "part", F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn"), F.lit(False).alias("seat"))
+    places = seats.union(visits).groupBy("row", "node", "cls", "copies", "g", "part", "turn").agg(F.max("seat").alias("member"), (~F.min("seat")).alias("query"))
+    places = places.groupBy(F.col("node").alias("id")).agg(F.collect_list(F.struct("cls", "copies", "g", "part", "turn", "member", "query")).alias("places"))
+    places = stored(places)
+
+    # whole sets of the nodes that take part, from a second reading of their texts; each set is sent once to each place
+    few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= SMALL
+    texts = rows.join(F.broadcast(places) if few else places, "id").select("id", "text", "places")
+    sets = per_text(texts, words, "node long, n long, own long, tokens array<long>", lambda s, i: (i, len(s), digest(s) if len(s) else None, s))
+    sent = sets.withColumn("place", F.explode("places")).filter("place.cls = own").select("node", "n", "tokens", "place.*")
+
+    def meet(sets: pd.DataFrame) -> pd.DataFrame:
+        joins, counts = linked(sets[sets["member"]], sets[sets["query"]].add_prefix("q_"), percent)
         both = [(a, b, False) for a, b in joins] + [(a, b, True) for a, b in counts.items()]
         return pd.DataFrame({"a": np.array([x[0] for x in both], np.int64), "b": np.array([x[1] for x in both], np.int64), "count": np.array([x[2] for x in both], bool)})
 
-    met = stored(members.groupBy("g", "part", "turn").cogroup(queries.groupBy("q_g", "q_part", "q_turn")).applyInPandas(meet, "a long, b long, count boolean"))
-    joined = components(met.filter("not count").select("a", "b"))
+    met = stored(sent.groupBy("g", "part", "turn").applyInPandas(meet, "a long, b long, count boolean"))
+    joined = small(components(met.filter("not count").select("a", "b")))
 
-    out = base.select("id", "n", "cls").join(copied, ["cls", "n"], "left").withColumn("node", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    out = base.select("id", "n", "cls").join(copied.drop("rep_row"), ["cls", "n"], "left").withColumn("node", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     out = out.join(joined, "node", "left")
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")]
     if not links:
         return out.select(columns)
     counts = stored(met.filter("count").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("met")))
-    out = out.join(F.broadcast(counts) if counts.count() <= SMALL else counts, "cls", "left")
+    out = out.join(small(counts), "cls", "left")
     zero = F.lit(0).cast("long")
     others = F.coalesce("met", zero) + F.coalesce("copies", F.lit(1)) - 1
     return out.select(*columns, F.when((F.col("n") > 0) & F.col("id").isNotNull(), others).otherwise(zero).alias("n_links"))
@@ -256,7 +276,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that are the first of their component."""
     gone = stored(found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(small(gone), id_col, "left_anti").select(docs.columns)
 
 
 def op10_jaccard_join(spark, sf_dir):

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from jotspark.llm import jaccard_join as module
 from jotspark.llm.jaccard_join import jaccard_join, one_of_each
@@ -84,3 +85,29 @@ def test_links_equal_brute_force(spark, monkeypatch):
         got = {(r.doc_id, r.n_shingles, r.n_links, i) for i, r in enumerate(jaccard_join(df, words=4, percent=70, links=True).collect())}
         assert sorted({(a, b, c) for a, b, c, _ in got if a is not None and b}) == sorted(set(want))
         assert all(c == 0 for a, b, c, _ in got if a is None or not b)
+
+
+def test_what_is_kept_grows_with_the_rows_only(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(0, 600, 2):  # near copies in pairs; every tenth document holds the passage, too few of them for the sample of all tokens
+        own = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        at = rng.randrange(100)
+        text = own[:at] + passage + own[at:] if i % 20 < 2 else own
+        rows += [(i, " ".join(text)), (i + 1, " ".join([*text[:-3], "other", *text[-2:]]))]
+    kept, plain = [], module.stored
+
+    def counted(df):
+        out = plain(df)
+        kept.append((out.agg({"df": "max"}).first()[0] if "df" in out.columns else 0, sum(Path(x.removeprefix("file://")).stat().st_size for x in out.inputFiles())))
+        return out
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("SAMPLE", 12), ("SMALL", 0), ("stored", counted)):
+        monkeypatch.setattr(module, name, value)
+    got = jaccard_join(df, words=4, percent=85, links=True).collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i in range(600)}
+    first = 600 * 31 + 60 * 9  # first tokens of all sets
+    assert max(n for n, _ in kept) == 2  # tokens of the passage, which thirty pairs share, are not among the first
+    assert sum(b for _, b in kept) < 5 * 8 * first  # some numbers for a first token; the whole sets are not kept
